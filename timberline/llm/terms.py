@@ -31,10 +31,12 @@ def term_deltas(records: DataFrame, texts: dict[str, Column], values: dict[str,
     def item(field: str, term: Column, n: Column, r: Column) -> Column:
         return F.struct(F.lit(field).alias("field_name"), term.alias("term"), n.alias("n"), r.alias("r"))
 
+    def items(field: str, terms: Column, n: Column, r: Column) -> Column:
+        return F.transform(terms, lambda t: item(field, t, n, r))
+
     parts = [F.array(item(TOTAL, F.lit(""), one, one))]
     for f, a in texts.items():
-        parts.append(F.transform(a, lambda t, f=f: item(f, t, one, none)))
-        parts.append(F.transform(F.array_distinct(a), lambda t, f=f: item(f, t, none, one)))
+        parts += [items(f, a, one, none), items(f, F.array_distinct(a), none, one)]
     parts += [F.array(item(f, v.cast("string"), one, one)) for f, v in values.items()]
     empty = F.filter(parts[0], lambda x: F.lit(False))
     rows = records.select((F.lit(sign) if isinstance(sign, int) else sign).cast("bigint").alias("sign"), F.explode(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("x"))
