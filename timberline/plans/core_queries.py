@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.operators.entries import entries_of_lines, entries_of_texts
 from timberline.operators.instants import resolve_instants
 from timberline.operators.sessions import gap_tree, sessionize
 
@@ -39,5 +40,16 @@ def p1_gap_tree(spark: SparkSession, d: str) -> DataFrame:
     return gap_tree(login_events(spark, d), ["hostname", "username"], "us", ["file_path", "line_number"], 60_000_000, 86_400_000_000)
 
 
-QUERIES = {"p1_found": p1_found, "p1_gap_tree": p1_gap_tree, "p5_found": p5_found}
+def p2_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry with all its fields: of the raw lines, and of the records that were never parsed."""
+    lines = entries_of_lines(table(spark, d, "raw_lines"))
+    records = entries_of_texts(table(spark, d, "canonical").filter(F.col("_format") == "fallback"), "raw_log")
+    return lines.unionByName(records)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_entries(spark, d).select("file_path", "line_number", "last_line", "level", "process")
+
+
+QUERIES = {"p1_found": p1_found, "p1_gap_tree": p1_gap_tree, "p2_found": p2_found, "p2_entries": p2_entries, "p5_found": p5_found}
 ORACLE: dict[str, str] = {}
