@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.llm.encode import decode, encode
 from timberline.llm.runs import collapse_runs, masked_words, similar_runs
 from timberline.llm.terms import TermCounts, letter_runs, term_deltas
 from timberline.operators.instants import resolve_instants
@@ -64,7 +65,19 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d).marked().select("field_name", "term", "occurrences", "records")
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts}
+# --- 6: encoding
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(_table(spark, d, "documents"))
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return decode(p6_ids(spark, d))
+
+
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
 
 ORACLE = {
     "p3_found": """
@@ -73,6 +86,7 @@ ORACLE = {
         stepped as (select *, case when event is not distinct from lag(event) over w and k is not distinct from lag(k) over w and lag(line_number) over w is not null then 0 else 1 end as step from keyed window w as (partition by file_path, process order by line_number)),
         runs as (select *, sum(step) over (partition by file_path, process order by line_number) as run from stepped)
         select file_path, process, min(line_number) as first_line, max(line_number) as last_line from runs group by file_path, process, run having count(*) >= 3""",
+    "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p4_counts": """
         with lines as (select file_path, line_number, any_value(message) as message, any_value(process) as process, any_value(event) as event from canonical group by all),
         terms as (select 'message' as field_name, file_path, line_number, unnest(regexp_extract_all(lower(message), '[a-z]+')) as term from lines
