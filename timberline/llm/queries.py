@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timberline.llm.encode import decode, encode
 from timberline.llm.runs import collapse_runs, masked_words, similar_runs
 from timberline.llm.terms import TermCounts, letter_runs, term_deltas
+from timberline.llm.truncation import find_truncated, truncation_rates
 from timberline.operators.instants import resolve_instants
 from timberline.session import shared_folder
 
@@ -77,7 +78,18 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode(p6_ids(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
+# --- 8: texts cut off
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_truncated(_table(spark, d, "documents")).filter("cut").select(F.col("doc").alias("doc_id"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(find_truncated(_table(spark, d, "documents")))
+
+
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p8_found": p8_found, "p8_rates": p8_rates}
 
 ORACLE = {
     "p3_found": """
