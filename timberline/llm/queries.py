@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.encode import decode, encode
+from timberline.llm.mix import mix, mix_shares
 from timberline.llm.runs import collapse_runs, masked_words, similar_runs
 from timberline.llm.terms import TermCounts, letter_runs, term_deltas
 from timberline.llm.truncation import find_truncated, truncation_rates
@@ -78,6 +79,23 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode(p6_ids(spark, d))
 
 
+# --- 7: mixing
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_shares(p7_mix(spark, d), _table(spark, d, "mix_targets"))
+
+
+def p7_shares_reached(spark: SparkSession, d: str) -> DataFrame:
+    """The shares at the largest total that lets every source with documents reach its own."""
+    targets = _table(spark, d, "mix_targets")
+    return mix_shares(mix(_table(spark, d, "documents"), targets, "reachable"), targets)
+
+
 # --- 8: texts cut off
 
 
@@ -89,7 +107,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(find_truncated(_table(spark, d, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_reached": p7_shares_reached, "p8_found": p8_found, "p8_rates": p8_rates}
 
 ORACLE = {
     "p3_found": """
