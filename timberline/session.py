@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,21 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+_SHIPPED = "timberline.zip"
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers wherever they run; once per Spark context."""
+    sc = spark.sparkContext
+    if any(str(f).endswith(_SHIPPED) for f in sc._python_includes):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="timberline-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder, _SHIPPED)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(path))
