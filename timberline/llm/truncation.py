@@ -62,9 +62,12 @@ def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, ends
 
 
+_BLANKS = " \n\t\r\f\v\u00a0\u3000…"
+
+
 def plain(text: Column) -> Column:
     """Line ends as one, without blanks and an ellipsis character at the end."""
-    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[\s…]+$", "")
+    return F.rtrim(F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text), F.lit(_BLANKS))
 
 
 def _end_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +112,7 @@ def _occurrences(bits):
                     for _, h in _hashes(codes, s):
                         at = np.flatnonzero(wanted[(h >> np.uint64(64 - BITS)).astype(np.int64)] & inside)
                         held.append((h[at], stop[at]))
-                    if sum(len(x) for x, _ in held) > 4_000_000:
+                    if sum(len(x) for x, _ in held) > 1_000_000:
                         fold()
         if held:
             fold()
@@ -120,7 +123,7 @@ def _occurrences(bits):
     return count
 
 
-def _limited(texts: list[bytes], most: int = 8_000_000) -> Iterator[list[bytes]]:
+def _limited(texts: list[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
     """Texts in groups of bounded size; a longer one in overlapping parts, of which no position counts twice."""
     part, size = [], 0
     for t in texts:
@@ -136,19 +139,26 @@ def _limited(texts: list[bytes], most: int = 8_000_000) -> Iterator[list[bytes]]
 
 # --- what layouts say about their end
 
+# fixed values: texts that begin a cell or an output in each layout; the first two start a line
 CELL = {
-    "json": r'"(?:cell_type|output_type)"\s*:',
-    "percent": r"(?m)^# %%|(?m)(?<=\n\n)#>",
-    "tag": r"<cell type=\"",
+    "percent": ("\n# %%", "\n\n#>"),
+    "json": ('"cell_type":', '"output_type":'),
+    "tag": ('<cell type="',),
 }
 
 
+def _count(text: Column, part: str) -> Column:
+    """Occurrences of a fixed text that doesn't overlap itself."""
+    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
 def layout(text: Column) -> Column:
+    head = F.ltrim(F.substring(text, 1, 64), F.lit(" \n\t\r"))
     return (
-        F.when(text.rlike(r"^\s*\{"), "json")
-        .when(text.rlike(r"^\s*<notebook\b"), "tag")
-        .when(text.rlike(r"^\s*# %%"), "percent")
-        .when(text.rlike(r"(?m)^(?:In|Out) ?\[[ \d]*\]:"), "log")
+        F.when(head.startswith("{"), "json")
+        .when(head.startswith("<notebook"), "tag")
+        .when(head.startswith("# %%"), "percent")
+        .when(head.startswith("In [") | text.contains("\nIn ["), "log")
         .otherwise("markdown")
     )
 
@@ -156,44 +166,54 @@ def layout(text: Column) -> Column:
 def _blocks(text: Column, kind: Column) -> Column:
     """Cells of a text in which blank lines separate them: a heading and what follows it are one cell;
     fenced blocks, and an output with its own blank lines, too."""
-    fences = r"(?s)(?<=^|\n)```[^\n]*\n.*?(?:\n```(?=\n|$)|$)"
-    bare = F.when(kind == "markdown", F.regexp_replace(text, fences, "```")).otherwise(F.regexp_replace(text, r"\n\s*\n(?=\[\d+ rows x \d+ columns\])|(?<=in <module>\n[^\n]{0,400})\n\s*\n(?=\w+: )|\n\s*\n(?=\w+(?:Error|Exception|Interrupt|Warning)\b: )", "\n"))
-    joined = F.regexp_replace(bare, r"((?:^|\n)## [^\n]*)\n\s*\n(?!```|In \[|Out ?\[|## )", "$1\n")
-    return F.size(F.split(F.regexp_replace(joined, r"^\s+", ""), r"\n[^\S\n]*\n\s*"))
+    # every second part of a text split at fences is inside one; there, lines are no blocks of their own
+    parts = F.split(F.concat(F.lit("\n"), text), r"\n```[^\n]*")
+    outside = F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), "\n\n```\n\n")
+    out = F.regexp_replace(text, r"\n\s*\n(?=\[\d+ rows x \d+ columns\]|\w+(?:Error|Exception|Interrupt|Warning)\b: )", "\n")
+    bare = F.when(kind == "markdown", F.when(text.contains("```"), outside).otherwise(text)).otherwise(out)
+    joined = F.when(bare.contains("## "), F.regexp_replace(bare, r"(?<=\n|^)(## [^\n]*)\n\s*\n(?!```|In \[|Out ?\[|## )", "$1\n")).otherwise(bare)
+    return F.size(F.split(F.trim(joined, F.lit(_BLANKS)), r"\n[^\S\n]*\n\s*"))
 
 
 def cells(text: Column, kind: Column) -> Column:
     out = F.when(kind.isin("markdown", "log"), _blocks(text, kind))
-    for k, pattern in CELL.items():
-        out = out.when(kind == k, F.regexp_count(text, F.lit(pattern)))
+    for k, marks in CELL.items():
+        at = F.concat(F.lit("\n"), F.ltrim(text, F.lit(_BLANKS))) if k == "percent" else text
+        out = out.when(kind == k, sum((_count(at, m) for m in marks), F.lit(0)))
     return out
 
 
 def closed(text: Column, kind: Column) -> Column:
     """Whether the end is the layout's own closing; null where a layout has none."""
-    return F.when(kind == "json", text.rlike(r"\}[\s,\]]*\}\s*$|[\d\"\]]\s*,?\s*\}\s*$") & (F.substring(text, -1, 1) == "}")).when(kind == "tag", text.rlike(r"</notebook>\s*(?:<!--[^<]*-->)?\s*$"))
+    end = F.expr("right(plain, 200)")
+    return F.when(kind == "json", end.rlike(r"[\d\"\]}]\s*,?\s*\}$")).when(kind == "tag", end.rlike(r"</notebook>\s*(?:<!--[^<]*-->)?$"))
 
 
 def _features(df: DataFrame, doc: str, text: str, source: str, lang: str, n_cells: str | None) -> DataFrame:
-    rows = df.select(F.col(doc).alias("doc"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"), (F.col(n_cells) if n_cells else F.lit(None)).cast("int").alias("n_cells"))
-    rows = staged(rows.filter(F.col("doc").isNotNull() & F.col("text").rlike(r"\S")), {"plain": plain(F.col("text"))})
-    rows = staged(rows, {"kind": layout(F.col("plain"))})
+    rows = df.filter(F.col(doc).isNotNull() & F.col(text).rlike(r"\S")).select(
+        F.col(doc).alias("doc"),
+        F.coalesce(F.col(source), F.lit("")).alias("source"),
+        F.coalesce(F.col(lang), F.lit("")).alias("lang"),
+        (F.col(n_cells) if n_cells else F.lit(None)).cast("int").alias("n_cells"),
+        F.length(text).alias("n_chars"),
+        F.octet_length(text).alias("n_bytes"),
+        F.rtrim(F.col(text), F.lit(_BLANKS.replace("…", ""))).endswith("…").alias("ellipsis"),
+        plain(F.col(text)).alias("__plain"),
+    )
+    rows = staged(rows, {"plain": F.col("__plain")}).drop("__plain")
+    kind = layout(F.col("plain"))
     word = F.regexp_extract(F.expr("right(plain, 200)"), r"(\w{3,})\W{0,3}$", 1)
-    before = F.expr("left(plain, length(plain) - 3 - length(__word))")
-    rows = staged(rows, {"__word": word})
+    before = F.expr("left(plain, length(plain) - 3)")
+    again = F.rlike(F.substring(before, 1, F.length(before) - F.length(word)), F.concat(F.lit(r"(?U)\b"), word, F.lit(r"\b")))
     return rows.select(
-        "doc", "source", "lang", "kind",
+        "doc", "source", "lang", "n_chars", "n_bytes", "ellipsis",
         F.expr("right(plain, 16)").alias("tail"),
         F.expr("xxhash64(right(plain, 200))").alias("copy"),
-        (F.col("__word").rlike(r"^\w") & F.rlike(before, F.concat(F.lit(r"(?U)\b"), F.col("__word"), F.lit(r"\b")))).alias("word_again"),
-        F.col("plain").rlike(r"[.!?。！？]$").alias("stopped"),
-        (F.col("n_cells") - cells(F.col("plain"), F.col("kind"))).alias("missing"),
-        closed(F.col("plain"), F.col("kind")).alias("closed"),
-        (F.col("text").rlike(r"…\s*$")).alias("ellipsis"),
-        (F.when(F.col("kind") == "markdown", F.regexp_count(F.col("plain"), F.lit(r"(?m)^```"))) % 2 == 1).alias("in_fence"),
-        F.length("text").alias("n_chars"),
-        F.octet_length("text").alias("n_bytes"),
-        (F.length("plain") - F.length(F.replace("plain", F.lit("\n"))) + 1).alias("lines"),
+        ((word != "") & again).alias("word_again"),
+        F.expr("right(plain, 1)").isin(*".!?。！？").alias("stopped"),
+        (F.col("n_cells") - cells(F.col("plain"), kind)).alias("missing"),
+        closed(F.col("plain"), kind).alias("closed"),
+        (_count(F.col("plain"), "\n") + 1).alias("lines"),
     )
 
 
@@ -229,7 +249,7 @@ def end_scores(df: DataFrame, doc: str = "doc_id", text: str = "text", source: s
     share = F.col("docs") / F.col("all_lines")
     odds = rate * F.col("t") / (share * (F.col("stops") + F.col("e") - 1 + UNSEEN))
     orders = F.array(*[F.lit(k) for k in ORDERS])
-    return rows.select("doc", "source", "lang", "kind", "word_again", "stopped", "copy", "missing", "closed", "ellipsis", "in_fence", "n_chars", "n_bytes", F.element_at(orders, F.col("k") + 1).alias("matched"), "e", "t", "stops", F.log(odds).alias("log_odds"))
+    return rows.select("doc", "source", "lang", "word_again", "stopped", "copy", "missing", "closed", "ellipsis", "n_chars", "n_bytes", F.element_at(orders, F.col("k") + 1).alias("matched"), "e", "t", "stops", F.log(odds).alias("log_odds"))
 
 
 def field_limits(scores: DataFrame, share: float = 0.03, least: int = 4) -> DataFrame:
