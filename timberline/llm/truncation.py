@@ -21,45 +21,49 @@ from pyspark.sql import functions as F
 from timberline.functions.stage import staged
 from timberline.session import shared_folder
 
-ORDERS = (1, 2, 3, 4, 6, 8, 12, 16)
-ALL_ORDERS = 4  # contexts of the first so many orders count even if a single text ends with them
+LOW, HIGH = (2, 3, 4), (6, 8, 12)
+ORDERS = LOW + HIGH
 UNSEEN = 0.5  # what an end that nothing else has counts for
 PRIOR_RATE = 5e-5  # cuts per position where nothing is known
 SUPPORT = 12  # occurrences that a context needs to be judged by
 BITS = 22  # log2 of the size of the filter of end contexts: 512 KB, whatever the corpus
-_P = 0x9E3779B97F4A7C15
-_Q = np.uint64(0xC2B2AE3D27D4EB4F)
+BIN_BITS = 20  # log2 of the bins in which contexts of the low orders are counted, of each source
+PART = 1 << 16
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LUT = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LUT[48:58] = 49  # every digit is 0
+_GAP = b"\0" * max(ORDERS)
 
 
 def _salt(source: str | None, k: int) -> np.uint64:
     return np.uint64((zlib.crc32(f"{k}|{source}".encode()) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _hashes(codes: np.ndarray, source: str | None, at: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each order, the hash of the context that ends at each position (or at the positions ``at``)."""
-    h, p = np.zeros(len(codes) if at is None else len(at), np.uint64), 1
-    for j in range(max(ORDERS)):
-        if at is None:
-            h[j:] += codes[: len(codes) - j] * np.uint64(p)
-        else:
-            h += codes[at - j] * np.uint64(p)
-        p = p * _P & 0xFFFFFFFFFFFFFFFF
-        if j + 1 in ORDERS:
-            x = h ^ _salt(source, j + 1)
-            x = (x ^ (x >> np.uint64(29))) * _Q
-            yield j + 1, x ^ (x >> np.uint64(32))
+def _mix(h: np.ndarray, salt: np.uint64) -> np.ndarray:
+    x = h ^ salt
+    x ^= x >> np.uint64(29)
+    x *= _Q
+    x ^= x >> np.uint64(32)
+    return x
 
 
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of texts with zeros between, and where each text ends."""
-    gap = b"\0" * max(ORDERS)
-    raw = np.frombuffer(gap + gap.join(texts), np.uint8)
-    codes = _LUT[raw]
-    codes[raw == 0] = 0
-    ends = np.cumsum([len(t) + len(gap) for t in texts]) - 1
-    return codes, ends
+def _rolling(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each order, a number for the context that ends at each position; those of the low orders are bins."""
+    h = codes.copy()
+    for k in range(2, max(ORDERS) + 1):
+        h[1:] = codes[1:] + h[:-1] * _P
+        h[0] = codes[0]
+        if k in LOW:
+            yield k, (h * _Q) >> np.uint64(64 - BIN_BITS)
+        elif k in HIGH:
+            yield k, h
+
+
+def _codes(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    codes = _LUT[b]
+    codes[b == 0] = 0
+    return codes
 
 
 _BLANKS = " \n\t\r\f\v\u00a0\u3000…"
@@ -72,69 +76,97 @@ def plain(text: Column) -> Column:
 
 def _end_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sources, tails = b.column("source").to_pylist(), [t.encode() for t in b.column("tail").to_pylist()]
+        sources, tails = b.column("source").to_pylist(), b.column("tail").to_pylist()
         out = np.zeros((len(tails), len(ORDERS)), np.int64)
         for s in set(sources):
             rows = np.array([i for i, x in enumerate(sources) if x == s])
-            codes, ends = _codes([tails[i][-max(ORDERS) :] for i in rows])
-            for k, (_, h) in enumerate(_hashes(codes, s, ends)):
-                out[rows, k] = h.view(np.int64)
+            texts = [tails[i][-max(ORDERS) :] for i in rows]
+            ends = np.cumsum([len(t) + len(_GAP) for t in texts]) - 1
+            for k, (order, h) in enumerate(_rolling(_codes(_GAP + _GAP.join(texts)))):
+                out[rows, k] = _mix(h[ends], _salt(s, order)).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tails) + 1, dtype=np.int32) * len(ORDERS)), pa.array(out.ravel()))
         yield pa.RecordBatch.from_arrays([b.column("doc"), lists], names=["doc", "contexts"])
 
 
+class _Sums:
+    """Occurrences of contexts, and how many of them a line's end follows."""
+
+    def __init__(self) -> None:
+        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((2, 0))
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, h: np.ndarray, t: np.ndarray, stops: np.ndarray) -> None:
+        self.held.append((h, t, stops))
+        self.size += len(h)
+        if self.size > 1_000_000:
+            self.fold()
+
+    def fold(self) -> None:
+        if self.held:
+            h, t, s = (np.concatenate(x) for x in zip((self.keys, *self.sums), *self.held, strict=True))
+            self.keys, at = np.unique(h, return_inverse=True)
+            self.sums = np.stack([np.bincount(at, t, len(self.keys)), np.bincount(at, s, len(self.keys))])
+            self.held, self.size = [], 0
+
+
 def _occurrences(bits):
     """Counts of the contexts that pass the filter, over all positions of all texts of a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
-        keys, sums = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def fold() -> None:
-            nonlocal keys, sums
-            h, stop = (np.concatenate(x) for x in zip(*held, strict=True))
-            both, at = np.unique(np.concatenate([keys, h]), return_inverse=True)
-            t = np.bincount(at, np.concatenate([sums[0], np.ones(len(h))]), len(both))
-            s = np.bincount(at, np.concatenate([sums[1], stop]), len(both))
-            keys, sums = both, np.stack([t, s]).astype(np.int64)
-            held.clear()
+        sums = _Sums()
+
+        def passing(h: np.ndarray) -> np.ndarray:
+            return wanted[(h >> np.uint64(64 - BITS)).view(np.int64)]
 
         for b in batches:
             by: dict[str | None, list[bytes]] = {}
             for s, t in zip(b.column("source").to_pylist(), b.column("text"), strict=True):
-                by.setdefault(s, []).append(t.as_py().encode())
+                by.setdefault(s, []).append(t.as_py())
             for s, texts in by.items():
-                for part in _limited(texts):
-                    codes, _ = _codes(part)
+                bins: dict[int, list[np.ndarray]] = {k: [] for k in LOW}
+                stops: dict[int, list[np.ndarray]] = {k: [] for k in LOW}
+                for raw in _limited(texts):
+                    codes = _codes(raw)
                     after = np.append(codes[1:], np.uint64(0))
                     inside, stop = after != 0, after == _LUT[10]
-                    for _, h in _hashes(codes, s):
-                        at = np.flatnonzero(wanted[(h >> np.uint64(64 - BITS)).astype(np.int64)] & inside)
-                        held.append((h[at], stop[at]))
-                    if sum(len(x) for x, _ in held) > 1_000_000:
-                        fold()
-        if held:
-            fold()
-        for i in range(0, len(keys), 100_000):
+                    for k, h in _rolling(codes):
+                        if k in LOW:
+                            bins[k].append(h[inside].astype(np.uint32))
+                            stops[k].append(h[stop].astype(np.uint32))
+                        else:
+                            h = _mix(h, _salt(s, k))
+                            at = np.flatnonzero(passing(h) & inside)
+                            sums.add(h[at], np.ones(len(at)), stop[at].astype(float))
+                for k in LOW:
+                    t = np.bincount(np.concatenate(bins[k]), minlength=1 << BIN_BITS)
+                    n = np.bincount(np.concatenate(stops[k]), minlength=1 << BIN_BITS)
+                    at = np.flatnonzero(t)
+                    h = _mix(at.astype(np.uint64), _salt(s, k))
+                    ok = passing(h)
+                    sums.add(h[ok], t[at[ok]].astype(float), n[at[ok]].astype(float))
+        sums.fold()
+        for i in range(0, len(sums.keys), 100_000):
             cut = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(sums[0, cut]), pa.array(sums[1, cut])], names=["h", "t", "stops"])
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys[cut].view(np.int64)), *(pa.array(x[cut].astype(np.int64)) for x in sums.sums)], names=["h", "t", "stops"])
 
     return count
 
 
-def _limited(texts: list[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
-    """Texts in groups of bounded size; a longer one in overlapping parts, of which no position counts twice."""
-    part, size = [], 0
+def _limited(texts: list[bytes]) -> Iterator[bytes]:
+    """The texts, with gaps between, in pieces of bounded size; a long text is cut into several, at whose
+    first positions the longer contexts see the gap."""
+    part, size = [_GAP], 0
     for t in texts:
-        for i in range(0, max(1, len(t)), most):
-            part.append(t[i : i + most])
-            size += len(part[-1])
-            if size >= most:
-                yield part
-                part, size = [], 0
-    if part:
-        yield part
+        for i in range(0, len(t), PART):
+            part += [t[i : i + PART], _GAP]
+            size += len(part[-2])
+            if size >= PART:
+                yield b"".join(part)
+                part, size = [_GAP], 0
+    if size:
+        yield b"".join(part)
 
 
 # --- what layouts say about their end
@@ -207,7 +239,7 @@ def _features(df: DataFrame, doc: str, text: str, source: str, lang: str, n_cell
     again = F.rlike(F.substring(before, 1, F.length(before) - F.length(word)), F.concat(F.lit(r"(?U)\b"), word, F.lit(r"\b")))
     return rows.select(
         "doc", "source", "lang", "n_chars", "n_bytes", "ellipsis",
-        F.expr("right(plain, 16)").alias("tail"),
+        F.expr("right(plain, 16)").cast("binary").alias("tail"),
         F.expr("xxhash64(right(plain, 200))").alias("copy"),
         ((word != "") & again).alias("word_again"),
         F.expr("right(plain, 1)").isin(*".!?。！？").alias("stopped"),
@@ -228,14 +260,15 @@ def end_scores(df: DataFrame, doc: str = "doc_id", text: str = "text", source: s
     # copies of one text that end alike are one witness
     witnesses = feats.select("doc", "copy").join(ends, "doc").groupBy("h", "copy").agg(F.max("k").alias("k"))
     n_ends = witnesses.groupBy("h").agg(F.count("*").alias("e"), F.max("k").alias("k"))
-    n_ends = n_ends.filter((F.col("e") >= 2) | (F.col("k") < ALL_ORDERS))
+    # a context of a high order that a single text ends with says nothing that shorter ones don't
+    n_ends = n_ends.filter((F.col("e") >= 2) | (F.col("k") < len(LOW)))
     bucket = F.shiftrightunsigned(F.col("h"), 64 - BITS) + 1  # bitmaps count from 1
     maps = n_ends.select(bucket.alias("b")).groupBy(F.bitmap_bucket_number(F.col("b")).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b"))).alias("bits"))
     bits = bytearray((1 << BITS) // 8)
     for r in maps.collect():  # at most 2^BITS bits, whatever the corpus
         bits[(r["n"] - 1) * 4096 : r["n"] * 4096] = r["bits"]
     shared = spark.sparkContext.broadcast(bytes(bits))
-    texts = df.filter(F.col(text).rlike(r"\S")).select(F.coalesce(F.col(source), F.lit("")).alias("source"), plain(F.col(text)).alias("text"))
+    texts = df.filter(F.col(text).rlike(r"\S")).select(F.coalesce(F.col(source), F.lit("")).alias("source"), plain(F.col(text)).cast("binary").alias("text"))
     seen = texts.mapInArrow(_occurrences(shared), "h bigint, t bigint, stops bigint").groupBy("h").agg(F.sum("t").alias("t"), F.sum("stops").alias("stops"))
     known = n_ends.join(seen, "h").select("h", "e", "t", "stops")
     best = ends.join(known, "h").filter((F.col("t") >= SUPPORT) | (F.col("k") == 0)).groupBy("doc").agg(F.max(F.struct("k", "e", "t", "stops")).alias("x")).select("doc", "x.*")
