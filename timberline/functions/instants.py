@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from timberline.functions.stage import staged
+from timberline.functions.text import BLANKS
 
 # fixed values: month abbreviations
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -18,6 +19,7 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 DAYLIGHT = r"^([a-z]{1,3}dt|cest|eest|west|mest|bst)$"
 
 DAY_US = 86_400_000_000
+LONGEST = 200  # characters of a time stamp
 _ZONE = r"(z|utc|[+-]\d\d:?\d\d|[a-z]{2,5})?"
 _FRAC = r"(?:[.,](\d{1,9}))?"
 
@@ -39,8 +41,8 @@ _FIELDS = ("y", "yy", "m", "mon", "d", "h", "mi", "s", "f", "z", "ap")
 
 def clean(text: Column) -> Column:
     """Lower case, without blanks and brackets around it, inner runs of blanks as one."""
-    bare = F.regexp_replace(F.lower(text), r"^[\s\[\](){}<>]+|[\s\[\](){}<>]+$", "")
-    return F.regexp_replace(bare, r"\s+", " ")
+    bare = F.trim(text, F.lit(BLANKS + "[](){}<>"))
+    return F.regexp_replace(F.lower(F.when(F.length(bare) <= LONGEST, bare)), r"\s+", " ")
 
 
 def _parts(t: Column) -> Column:
@@ -84,7 +86,7 @@ def with_readings(df, text: str, zone: Column, opened: Column):
     precision in microseconds. ``zone``: IANA name, null for UTC. ``opened``: TIMESTAMP_NTZ in UTC.
     """
     t = clean(F.col(text))
-    df = df.withColumns({"_z": F.coalesce(zone, F.lit("UTC")), "__opened": opened.cast("timestamp_ntz")})
+    df = df.withColumns({"_z": F.coalesce(F.nullif(F.trim(zone), F.lit("")), F.lit("UTC")), "__opened": opened.cast("timestamp_ntz")})
     df = staged(staged(df, {"_t": t}), {"_p": _parts(F.col("_t"))})
     p = {f: F.col("_p")[i] for i, f in enumerate((*_FIELDS, "layout"))}
     epoch = F.col("_t").rlike(_EPOCH)

@@ -6,12 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEP = "\u0001"
+# fixed values: Unicode white space
+BLANKS = "\t\n\v\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 META_TYPE = "array<struct<key:string,value:string,vtype:string>>"
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def captures(c: Column, pattern: str, groups: int) -> Column:

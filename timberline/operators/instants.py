@@ -101,12 +101,17 @@ def resolve_instants(df: DataFrame, files: DataFrame, out: str = "utc_us", text:
     repeated hour. Null, empty, damaged and impossible texts, and readings that the zone's clock
     skips, give null. Duplicate rows are all kept. Other columns of ``df`` are untouched.
     """
-    dims = files.groupBy(F.col(source).alias("_src")).agg(F.first(zone).alias("_tz"), F.first(opened).alias("_op"))
-    narrow = df.select(source, line, text).join(dims, F.col(source) == F.col("_src"), "left")
-    switches = repeated_hours(with_readings(narrow, text, F.col("_tz"), F.col("_op")), source, line)
-    by_source = switches.groupBy(F.col("source").alias("_src2")).agg(F.collect_list(F.struct("fold", "second_from")).alias("_sw"))
-    known = dims.join(by_source, F.col("_src") == F.col("_src2"), "left").drop("_src2")
-    full = with_readings(df.join(known, F.col(source) == F.col("_src"), "left"), text, F.col("_tz"), F.col("_op"))
-    second = F.exists(F.coalesce(F.col("_sw"), F.expr("array()").cast("array<struct<fold:bigint,second_from:bigint>>")), lambda s: (s["fold"] == F.col("_fold")) & (F.col(line) >= s["second_from"]))
+    dims = files.filter(F.col(source).isNotNull()).groupBy(F.col(source).alias("__src")).agg(F.first(zone).alias("__tz"), F.first(opened).alias("__op"))
+    mine = [F.col(source).alias("__source"), F.col(line).cast("bigint").alias("__line"), F.col(text).alias("__text")]
+    narrow = df.select(*mine).join(dims, F.col("__source") == F.col("__src"), "left")
+    switches = repeated_hours(with_readings(narrow, "__text", F.col("__tz"), F.col("__op")), "__source", "__line")
+    by_source = switches.groupBy(F.col("source").alias("__src2")).agg(F.collect_list(F.struct("fold", "second_from")).alias("__sw"))
+    known = dims.join(by_source, F.col("__src") == F.col("__src2"), "left").drop("__src2")
+    # the row travels packed, whatever its columns are called
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *mine)
+    full = with_readings(packed.join(known, F.col("__source") == F.col("__src"), "left"), "__text", F.col("__tz"), F.col("__op"))
+    none = F.expr("array()").cast("array<struct<fold:bigint,second_from:bigint>>")
+    second = F.exists(F.coalesce(F.col("__sw"), none), lambda s: (s["fold"] == F.col("_fold")) & (F.col("__line") >= s["second_from"]))
     us = F.when(F.size("_cands") == 2, F.when(second, F.col("_cands")[1]).otherwise(F.col("_cands")[0])).when(F.size("_cands") == 1, F.col("_cands")[0])
-    return full.withColumn(out, us).drop("_src", "_tz", "_op", "_sw", "_wall", "_both", "_cands", "_fold", "_unit")
+    keep = [F.col("__row")[c].alias(c) for c in df.columns if c != out]
+    return full.select(*keep, us.alias(out))
