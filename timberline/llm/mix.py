@@ -117,9 +117,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | str | None = None, see
     spark = docs.sparkSession
     shared_folder(spark, "mix")
     goals = _targets(targets)
-    listed = docs.join(targets.select(F.col("source").alias("_s")).distinct(), F.col(source) == F.col("_s"), "left_semi")
-    counted = with_token_counts(listed.filter(F.col(doc).isNotNull()), text, "n_tokens", [doc, source])
-    counted = counted.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), "n_tokens").filter("n_tokens > 0").groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"))
+    mine = docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).filter("doc_id is not null")
+    listed = mine.join(targets.select(F.col("source").alias("_s")).distinct(), F.col("source") == F.col("_s"), "left_semi")
+    counted = with_token_counts(listed, "text", "n_tokens", ["doc_id", "source"]).filter("n_tokens > 0").groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"))
     counted = counted.checkpoint()
     sizes = {r["source"]: (r["n"], r["t"]) for r in counted.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
     n_blocks = {s: max(1, min(MOST_BLOCKS, math.isqrt(n))) for s, (n, _) in sizes.items()}
@@ -151,6 +151,6 @@ def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     per = per_doc.groupBy("source").agg(F.count("*").alias("n_documents"), F.max("uses").alias("most_uses"), F.sum("t").alias("n_tokens"))
     whole = per.agg(F.sum("n_tokens").alias("whole"))
     zero = {"n_documents": 0, "most_uses": 0, "n_tokens": 0}
-    rows = targets.join(per, "source", "left").fillna(zero)
+    rows = targets.select("source", "target_share", "max_repeats").join(per, "source", "left").fillna(zero)
     total = F.coalesce(whole.scalar(), F.lit(0))
     return rows.select("source", "target_share", "max_repeats", "n_documents", "most_uses", "n_tokens", F.round(F.coalesce(F.try_divide(F.col("n_tokens").cast("double"), total.cast("double")), F.lit(0.0)), 6).alias("share"))

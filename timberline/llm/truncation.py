@@ -198,13 +198,14 @@ def layout(text: Column) -> Column:
 def _blocks(text: Column, kind: Column) -> Column:
     """Cells of a text in which blank lines separate them: a heading and what follows it are one cell;
     fenced blocks, and an output with its own blank lines, too."""
+    text = F.regexp_replace(text, r"\n[^\S\n]*+\n(?:[^\S\n]*+\n)*+", "\n\n")
     # every second part of a text split at fences is inside one; there, lines are no blocks of their own
     parts = F.split(F.concat(F.lit("\n"), text), r"\n```[^\n]*")
     outside = F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), "\n\n```\n\n")
-    out = F.regexp_replace(text, r"\n\s*\n(?=\[\d+ rows x \d+ columns\]|\w+(?:Error|Exception|Interrupt|Warning)\b: )", "\n")
+    out = F.regexp_replace(text, r"\n\n(?=\[\d+ rows x \d+ columns\]|\w+(?:Error|Exception|Interrupt|Warning)\b: )", "\n")
     bare = F.when(kind == "markdown", F.when(text.contains("```"), outside).otherwise(text)).otherwise(out)
-    joined = F.when(bare.contains("## "), F.regexp_replace(bare, r"(?<=\n|^)(## [^\n]*)\n\s*\n(?!```|In \[|Out ?\[|## )", "$1\n")).otherwise(bare)
-    return F.size(F.split(F.trim(joined, F.lit(_BLANKS)), r"\n[^\S\n]*\n\s*"))
+    joined = F.when(bare.contains("## "), F.regexp_replace(bare, r"(?<=\n|^)(## [^\n]*)\n\n+(?!```|In \[|Out ?\[|## |\n)", "$1\n")).otherwise(bare)
+    return F.size(F.split(F.trim(joined, F.lit(_BLANKS)), r"\n\n+"))
 
 
 def cells(text: Column, kind: Column) -> Column:
