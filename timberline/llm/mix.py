@@ -81,7 +81,7 @@ def _deal(blocks: dict[str, dict[int, int]], quota: dict[str, int], shards: int,
     for s in names:
         whole, rest = divmod(quota.get(s, 0), max(1, sum(blocks[s].values())))
         order = rng.permutation(sorted(blocks[s]))
-        mine: list[tuple[int, int, int | None]] = [(int(b), k, None) for k in range(whole) for b in blocks[s]]
+        mine: list[tuple[int, int, int | None]] = [(int(b), k, None) for k in range(whole) for b in sorted(blocks[s])]
         for b in order.tolist():
             if rest <= 0:
                 break
