@@ -110,10 +110,11 @@ def _score(spark: SparkSession, a: argparse.Namespace) -> None:
     scored = scorer.score(windows.with_attacks(parts.filter("part = 'test'"), a.anomaly_ratio, a.seed)).persist()
     limit = anomaly.threshold(scored, a.k)
     limit.show()
-    rows = anomaly.predicted(scored, limit.select("threshold").scalar())
+    at = F.lit(limit.first()["threshold"])
+    rows = anomaly.predicted(scored, at)
     anomaly.metrics(rows).show()
     for kind in ("top", "bottom", "boundary"):
-        anomaly.audit(rows, kind, limit.select("threshold").scalar()).select("window_id", "ppl", "label", F.substring("text", 1, 80)).show(truncate=False)
+        anomaly.audit(rows, kind, at).select("window_id", "ppl", "label", F.substring("text", 1, 80)).show(truncate=False)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -38,7 +38,9 @@ def severity(text: Column) -> Column:
 
 def priority_severity(priority: Column) -> Column:
     """Canonical severity of a numeric syslog priority; anything else gives null."""
-    return F.element_at(F.array(*[F.lit(x) for x in PRIORITY]), (F.pmod(priority.try_cast("int"), F.lit(8)) + 1))
+    number = priority.try_cast("int")
+    rest = F.pmod(number, F.lit(8))
+    return F.when(number.isNotNull(), F.get(F.array(*[F.lit(x) for x in PRIORITY]), rest.cast("int")))
 
 
 def first_rule(rules: list[tuple[Column, str]], default: str = "unknown") -> Column:

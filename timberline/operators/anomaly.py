@@ -57,9 +57,9 @@ class BigramScorer:
 def threshold(scored: DataFrame, k: float = 3.0) -> DataFrame:
     """One row (median, mad, threshold) over the windows of label 0: median + k * MAD, interpolated."""
     benign = scored.filter((F.col("label") == 0) & F.col("ppl").isNotNull() & ~F.isnan("ppl")).select("ppl")
-    mid = benign.agg(F.percentile("ppl", F.lit(0.5)).alias("m"))
-    m = mid.scalar()
-    return benign.agg(F.max(m).alias("median"), F.percentile(F.abs(F.col("ppl") - m), F.lit(0.5)).alias("mad")).withColumn("threshold", F.col("median") + k * F.col("mad"))
+    mid = benign.agg(F.percentile("ppl", F.lit(0.5)).alias("m")).scalar()
+    off = benign.select(mid.alias("m"), "ppl").select("m", F.abs(F.col("ppl") - F.col("m")).alias("off"))
+    return off.agg(F.max("m").alias("median"), F.percentile("off", F.lit(0.5)).alias("mad")).withColumn("threshold", F.col("median") + k * F.col("mad"))
 
 
 def predicted(scored: DataFrame, limit: Column) -> DataFrame:
@@ -78,16 +78,19 @@ def metrics(rows: DataFrame) -> DataFrame:
 
 def audit(rows: DataFrame, kind: str, limit: Column | None = None, n: int = 10) -> DataFrame:
     """The ``n`` windows of the highest (top) or lowest (bottom) score, or nearest the limit (boundary)."""
+    return _placed(rows, kind, limit).orderBy("_key", "window_id").limit(n).drop("_key")
+
+
+def _placed(rows: DataFrame, kind: str, limit: Column | None) -> DataFrame:
     scored = rows.filter(F.col("ppl").isNotNull() & ~F.isnan("ppl"))
-    order = {"top": lambda: F.desc("ppl"), "bottom": lambda: F.asc("ppl"), "boundary": lambda: F.abs(F.col("ppl") - limit)}
-    return scored.orderBy(order[kind](), "window_id").limit(n)
+    key = {"top": lambda: -F.col("ppl"), "bottom": lambda: F.col("ppl"), "boundary": lambda: F.abs(F.col("ppl") - limit)}[kind]
+    return scored.withColumn("_key", key())
 
 
 def ranked_audit(rows: DataFrame, kind: str, limit: Column | None = None, n: int = 10) -> DataFrame:
     """The same with ``place``, from 1."""
-    top = audit(rows, kind, limit, n)
-    key = {"top": F.desc("ppl"), "bottom": F.asc("ppl")}.get(kind) if kind != "boundary" else F.abs(F.col("ppl") - limit)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(key, "window_id")))  # of n rows
+    top = _placed(rows, kind, limit).orderBy("_key", "window_id").limit(n)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("_key", "window_id"))).drop("_key")  # of n rows
 
 
 class FixedThreshold:
@@ -102,5 +105,5 @@ class FixedThreshold:
     @staticmethod
     def accuracy(rows: DataFrame) -> DataFrame:
         """Share of right predictions over all rows; an unscored one counts as wrong."""
-        right = F.col("ppl").isNotNull() & (F.col("prediction") == F.col("label"))
+        right = F.col("ppl").isNotNull() & ~F.isnan("ppl") & (F.col("prediction") == F.col("label"))
         return rows.agg(F.round(F.coalesce(F.avg(right.cast("double")), F.lit(0.0)), 6).alias("accuracy"))

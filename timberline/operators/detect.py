@@ -22,7 +22,7 @@ from timberline.operators.formats import FORMATS, LineFormat, canonical, continu
 SAMPLE = 20
 FAILURES = 10
 JSON_SHARE, LEAST_SCORE, OTHER_SCORE = 0.7, 0.5, 0.2
-JSON = len(FORMATS)
+JSON = -1  # the choice of JSON, among numbers of formats
 
 
 def line_masks(lines: DataFrame) -> DataFrame:
@@ -33,7 +33,12 @@ def line_masks(lines: DataFrame) -> DataFrame:
     return df.select("file_path", F.col("line_number").cast("bigint").alias("line_number"), (F.col("_s") == "").alias("blank"), F.coalesce(continues(F.col("line")), F.lit(False)).alias("cont"), bits.alias("mask"), keys.isNotNull().alias("json_ok"), F.coalesce(F.size(keys) > 0, F.lit(False)).alias("json_filled"))
 
 
-def choose(masks: list[int], json_ok: list[bool]) -> int | None:
+def known_formats() -> list[tuple[str, int]]:
+    """Names and priorities of the registered formats, for workers that know only the built-in ones."""
+    return [(f.name, f.priority) for f in FORMATS]
+
+
+def choose(masks: list[int], json_ok: list[bool], known: list[tuple[str, int]] | None = None) -> int | None:
     """The format of a sample: JSON by vote, else the best score; None if none reaches half the lines.
 
     If any other format fits a fifth of the lines, the key=value format is out of the question.
@@ -43,8 +48,9 @@ def choose(masks: list[int], json_ok: list[bool]) -> int | None:
         return None
     if sum(json_ok) >= JSON_SHARE * n:
         return JSON
-    scores = [(sum(m >> i & 1 for m in masks) / n, f.priority, -i) for i, f in enumerate(FORMATS)]
-    named = [i for i, f in enumerate(FORMATS) if f.name == "key_value"]
+    known = known_formats() if known is None else known
+    scores = [(sum(m >> i & 1 for m in masks) / n, priority, -i) for i, (_, priority) in enumerate(known)]
+    named = [i for i, (name, _) in enumerate(known) if name == "key_value"]
     if any(s >= OTHER_SCORE for i, (s, _, _) in enumerate(scores) if i not in named):
         scores = [x for i, x in enumerate(scores) if i not in named]
     best = max(scores)
@@ -82,8 +88,8 @@ def detected_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
 class Walker:
     """State of one file: what its lines are now read as, and the failures since the last success."""
 
-    def __init__(self, failures: int = FAILURES):
-        self.limit = failures
+    def __init__(self, failures: int = FAILURES, known: list[tuple[str, int]] | None = None):
+        self.limit, self.known = failures, known_formats() if known is None else known
         self.fmt: int | None = None
         self.json = False
         self.fails: list[tuple[int, int, bool, bool]] = []
@@ -91,7 +97,7 @@ class Walker:
         self.redetections = 0
 
     def start(self, masks: list[int], json_ok: list[bool]) -> None:
-        self._set(choose(masks, json_ok))
+        self._set(choose(masks, json_ok, self.known))
 
     def _set(self, choice: int | None) -> bool:
         self.json = choice == JSON
@@ -102,7 +108,7 @@ class Walker:
     def _read(self, mask: int, filled: bool) -> str | None:
         if self.json and filled:
             return "json"
-        return FORMATS[self.fmt].name if self.fmt is not None and mask >> self.fmt & 1 else None
+        return self.known[self.fmt][0] if self.fmt is not None and mask >> self.fmt & 1 else None
 
     def flush(self) -> list[tuple]:
         out = [(n, "fallback", None, False) for n, *_ in self.fails]
@@ -123,7 +129,7 @@ class Walker:
         self.fails.append((n, mask, ok, filled))
         if len(self.fails) < self.limit:
             return []
-        if not self._set(choose([m for _, m, _, _ in self.fails], [o for _, _, o, _ in self.fails])):
+        if not self._set(choose([m for _, m, _, _ in self.fails], [o for _, _, o, _ in self.fails], self.known)):
             return self.flush()
         self.redetections += 1
         out = [(k, got or "fallback", None, got is not None) for k, m, _, f in self.fails for got in [self._read(m, f)]]
@@ -143,8 +149,10 @@ def resolve_lines(lines: DataFrame, sample: int = SAMPLE, failures: int = FAILUR
     counts the file's changes so far.
     """
 
+    known = known_formats()
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, walker, seen, held = None, Walker(failures), None, []
+        path, walker, seen, held = None, Walker(failures, known), None, []
 
         def emit(rows: list[tuple]) -> None:
             out.extend((path, *r, walker.redetections) for r in rows)
@@ -165,7 +173,7 @@ def resolve_lines(lines: DataFrame, sample: int = SAMPLE, failures: int = FAILUR
                     if path is not None:
                         begin()
                         emit(walker.flush())
-                    path, walker, seen, held = p, Walker(failures), None, []
+                    path, walker, seen, held = p, Walker(failures, known), None, []
                 if row[0] == seen:
                     continue
                 seen = row[0]
