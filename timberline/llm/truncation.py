@@ -218,8 +218,9 @@ def cells(text: Column, kind: Column) -> Column:
 
 def closed(text: Column, kind: Column) -> Column:
     """Whether the end is the layout's own closing; null where a layout has none."""
-    end = F.expr("right(plain, 200)")
-    return F.when(kind == "json", end.rlike(r"[\d\"\]}]\s*,?\s*\}$")).when(kind == "tag", end.rlike(r"</notebook>\s*(?:<!--[^<]*-->)?$"))
+    # an object that is whole ends with a brace in the first column, or has as many closing as opening ones
+    whole = text.endswith("}") & (text.endswith("\n}") | (_count(text, "{") == _count(text, "}")))
+    return F.when(kind == "json", whole).when(kind == "tag", F.expr("right(plain, 200)").rlike(r"</notebook>\s*(?:<!--[^<]*-->)?$"))
 
 
 def _features(df: DataFrame, doc: str, text: str, source: str, lang: str, n_cells: str | None) -> DataFrame:
