@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.events import masked_event
 from timberline.functions.text import META_TYPE
+from timberline.session import shared_folder
 
 # fixed values: prefixes of pseudonyms by category, for syslog and for canonical records
 SYSLOG_PREFIX = {"hosts": "HOST", "users": "USER", "pids": "PID", "remote_hosts": "REMOTE_HOST", "ips": "IP", "ports": "PORT", "paths": "PATH", "commands": "CMD"}
@@ -132,6 +133,10 @@ def dictionary(records: DataFrame, canonical: bool = False) -> DataFrame:
     mask, prefix = (_mask_canonical, CANONICAL_PREFIX) if canonical else (_mask_syslog, SYSLOG_PREFIX)
     rows = _records(records, canonical)
     seen = rows.mapInPandas(_lister(mask, ()), _SEEN)
+    return _dictionary(rows, seen, mask, prefix, canonical)
+
+
+def _dictionary(rows: DataFrame, seen: DataFrame, mask: Callable[[dict, Token], dict], prefix: dict[str, str], canonical: bool) -> DataFrame:
     first = _numbered(seen.filter("category <> 'commands'"), prefix)
     if canonical:
         return first
@@ -188,7 +193,11 @@ def pseudonymised(records: DataFrame, tokens: DataFrame | None = None, canonical
     mask = _mask_canonical if canonical else _mask_syslog
     rows = _records(records, canonical)
     seen = rows.mapInPandas(_lister(mask, ()), _SEEN)
-    tokens = dictionary(records, canonical) if tokens is None else tokens
+    if tokens is None:
+        # listed once, for the numbers and for each record's own values
+        shared_folder(records.sparkSession, "seen")
+        seen = seen.checkpoint()
+        tokens = _dictionary(rows, seen, mask, CANONICAL_PREFIX if canonical else SYSLOG_PREFIX, canonical)
     known = _with_tokens(rows, seen.filter("category <> 'commands'"), tokens)
     if not canonical:
         # a command's own key is known once the rest of its text is masked

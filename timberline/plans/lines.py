@@ -32,12 +32,18 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores; one that already has a partition for each is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def syslog_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "events").selectExpr("'events' as file_path", "event_id + 1 as line_number", f"{LINE.format(stamp=SPARK_STAMP)} as line")
+    return spread(_table(spark, d, "events")).selectExpr("'events' as file_path", "event_id + 1 as line_number", f"{LINE.format(stamp=SPARK_STAMP)} as line")
 
 
 def mixed_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "events").selectExpr("'mixed' as file_path", "event_id + 1 as line_number", f"{MIXED.format(**_SPARK_MIX)} as line")
+    return spread(_table(spark, d, "events")).selectExpr("'mixed' as file_path", "event_id + 1 as line_number", f"{MIXED.format(**_SPARK_MIX)} as line")
 
 
 DUCK_LINES = f"lines as (select 'events' as file_path, event_id + 1 as line_number, {LINE.format(stamp=DUCK_STAMP)} as line from events)"

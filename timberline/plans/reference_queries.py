@@ -36,6 +36,12 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
     return syslog.parse_syslog(syslog_lines(spark, d))
 
 
+def parsed_once(spark: SparkSession, d: str) -> DataFrame:
+    """The same, parsed once for all that reads it."""
+    shared_folder(spark, "records")
+    return parsed(spark, d).checkpoint()
+
+
 def structured(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "structured")
 
@@ -330,7 +336,7 @@ def _dictionary_sql(category: str) -> str:
 
 def _dictionary_of(category: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return pseudonyms.dictionary(parsed(spark, d)).filter(F.col("category") == category).select("value", F.col("ordinal").cast("bigint").alias("ordinal"), "token")
+        return pseudonyms.dictionary(parsed_once(spark, d)).filter(F.col("category") == category).select("value", F.col("ordinal").cast("bigint").alias("ordinal"), "token")
 
     return run
 
@@ -342,19 +348,19 @@ for _name in _TOKENS:
 
 @query()
 def pseudonym_records(spark, d):
-    return pseudonyms.pseudonymised(parsed(spark, d)).select("line_number", "hostname", "pid", "message", "masked_log")
+    return pseudonyms.pseudonymised(parsed_once(spark, d)).select("line_number", "hostname", "pid", "message", "masked_log")
 
 
 @query()
 def pseudonym_quality(spark, d):
-    rows = parsed(spark, d)
+    rows = parsed_once(spark, d)
     tokens = pseudonyms.dictionary(rows)
     return pseudonyms.masking_quality(rows, pseudonyms.pseudonymised(rows, tokens), tokens)
 
 
 @query()
 def pseudonym_kept_words(spark, d):
-    rows = parsed(spark, d)
+    rows = parsed_once(spark, d)
     return quality.kept_words(rows, pseudonyms.pseudonymised(rows))
 
 
@@ -407,7 +413,7 @@ def vocab_stats(spark, d):
 
 @query()
 def vocab_reduction(spark, d):
-    rows = parsed(spark, d)
+    rows = parsed_once(spark, d)
     return corpus.vocabulary_reduction(rows, pseudonyms.pseudonymised(rows))
 
 
