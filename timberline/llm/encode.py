@@ -96,8 +96,8 @@ def _unpack_strings(data: bytes) -> list[bytes]:
 
 
 _BLOCKS = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("docs", pa.binary()), ("lengths", pa.binary()), ("numbers", pa.binary())])
-_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
-_ANSWERED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("ids", pa.binary())])
+_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("sum", pa.int64()), ("words", pa.binary())])
+_ANSWERED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sum", pa.int64()), ("counts", pa.binary()), ("ids", pa.binary())])
 
 
 def _ddl(s: pa.Schema) -> str:
@@ -152,7 +152,7 @@ def _ask(buckets: int):
                 words = _unpack_strings(row["words"])
                 b, order = _order(words, buckets)
                 cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-                out = [(k, row["block"], _pack_strings([words[i] for i in order[cuts[k] : cuts[k + 1]]])) for k in np.unique(b).tolist()]
+                out = [(k, row["block"], zlib.crc32(row["words"]), _pack_strings([words[i] for i in order[cuts[k] : cuts[k + 1]]])) for k in np.unique(b).tolist()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), _ASKED, strict=True)], schema=_ASKED)
 
@@ -180,7 +180,7 @@ def _answer(name: str, folder: str):
                         got = known[w] = tuple(enc._encode_single_piece(w))
                     counts.append(len(got))
                     ids.extend(got)
-                out.append((row["block"], row["bucket"], _pack(np.array(counts, np.uint32).tobytes()), _pack(np.array(ids, np.uint32).tobytes())))
+                out.append((row["block"], row["bucket"], row["sum"], _pack(np.array(counts, np.uint32).tobytes()), _pack(np.array(ids, np.uint32).tobytes())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), _ANSWERED, strict=True)], schema=_ANSWERED)
 
@@ -203,6 +203,8 @@ def _assemble(buckets: int):
             del words
             counts, ids = [], []
             for a in sorted(answers.to_pylist(), key=lambda x: x["bucket"]):
+                if a["sum"] != zlib.crc32(row["words"]):
+                    raise RuntimeError("a block was read again in another order of rows than before; checkpoint the texts first")
                 counts.append(np.frombuffer(_unpack(a["counts"]), np.uint32))
                 ids.append(np.frombuffer(_unpack(a["ids"]), np.uint32))
             by_bucket = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
@@ -230,7 +232,9 @@ def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", name: str = "
 
     The strings of special tokens are ordinary text. An empty list for an empty and for a null text.
     Every row gives one row, those with repeated doc ids included; only rows without a doc id are left
-    out. Texts of any length are processed whole. An empty table gives no rows.
+    out. Texts of any length are processed whole. An empty table gives no rows. Blocks follow the order of
+    rows, which is fixed in tables that are read from files; should a lost block be made again of rows in
+    another order, the query fails and doesn't mix them up.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(64, n)
