@@ -372,12 +372,28 @@ for _name in _TOKENS:
     ORACLE[f"pseudonym_{_name}"] = _dictionary_sql(_name)
 
 
-@query()
+_TOKENS_SQL = ", ".join(
+    f"tok_{c} as (select value, '{prefix}_' || case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end as token from (select value, row_number() over (order by min(line_number)) as n from ({found}) group by value))"
+    for c, (prefix, found) in (_TOKENS | {"commands": ("CMD", "select regexp_extract(message, 'COMMAND=(.+)$', 1) as value, line_number, 0 as step from parsed where contains(message, 'COMMAND=')")}).items()
+)
+_MASKED = f"""{_TOKENS_SQL}, found as (select *, {_USER} as u, {_RHOST} as r, {_IP} as ip, case when contains(message, 'connection from') then nullif(trim(regexp_extract(message, '\\(([^)]*)\\)', 1)), '') end as h, nullif(regexp_extract(message, 'COMMAND=(.+)$', 1), '') as c from parsed),
+  named as (select f.*, th.token as th, tp.token as tp, tu.token as tu, coalesce(ti.token, tr.token) as tr, tip.token as tip, trh.token as trh, tc.token as tc from found f left join tok_hosts th on f.hostname = th.value left join tok_pids tp on cast(f.pid as varchar) = tp.value
+    left join tok_users tu on f.u = tu.value left join tok_remote_hosts tr on f.r = tr.value left join tok_ips ti on f.r = ti.value left join tok_ips tip on f.ip = tip.value left join tok_remote_hosts trh on f.h = trh.value left join tok_commands tc on f.c = tc.value),
+  masked as (select line_number, th as hostname, tp as pid, case when contains(message, 'authentication failure') then 'authentication failure; logname= uid=0 euid=0 tty=NODEVssh ruser= rhost=' || tr || coalesce('  user=' || tu, '')
+    when contains(message, 'session opened') then 'session opened for user ' || tu || ' by (uid=0)' when contains(message, 'session closed') then 'session closed for user ' || tu when contains(message, 'connection from') then 'connection from ' || tip || ' (' || coalesce(trh, '') || ') at noon'
+    when contains(message, 'SNMP') then 'Received SNMP packet(s) from ' || tip when c is not null then replace(message, 'COMMAND=' || c, 'COMMAND=' || tc) else message end as message, timestamp, process, component from named)"""
+
+
+@query(f"with {PARSED}, {_MASKED} select line_number, hostname, pid, message, timestamp || ' ' || hostname || ' ' || process || coalesce('(' || component || ')', '') || coalesce('[' || pid || ']', '') || ': ' || message as masked_log from masked")
 def pseudonym_records(spark, d):
     return pseudonyms.pseudonymised(parsed_once(spark, d)).select("line_number", "hostname", "pid", "message", "masked_log")
 
 
-@query()
+_KINDS = ", ".join(f"(select count(*) from tok_{c}) as {c}" if c in (*_TOKENS, "commands") else f"0 as {c}" for c in pseudonyms.SYSLOG_PREFIX)
+_SUM = " + ".join(f"(select count(*) from tok_{c})" for c in (*_TOKENS, "commands"))
+
+
+@query(f"with {PARSED}, {_MASKED} select count(*) as records, 100.0::double as event_kept, 100.0::double as process_kept, round(100.0 * count(*) filter (m.message <> p.message) / count(*), 2) as message_changed, {_KINDS}, {_SUM} as values from masked m join parsed p using (line_number)")
 def pseudonym_quality(spark, d):
     rows = parsed_once(spark, d)
     tokens = pseudonyms.dictionary(rows)
