@@ -10,8 +10,7 @@ from timberline.operators.syslog import parse_syslog
 
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_path, line_number, line) of files as they arrive; numbers are places, not counts: they grow
-    with the line's place in its file, which is all that order needs within a batch."""
+    """(file_path, line) of files as they arrive. A stream has no line numbers: they need a file's other splits."""
     raw = spark.readStream.text(folder)
     return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line"))
 
