@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,22 @@ def test_field_limit_and_closing(spark):
 
 def test_empty(spark):
     assert m.find_truncated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def folded(text):
+    return re.sub(rb"[0-9]", b"0", text.encode())
+
+
+def test_contexts_are_counted_exactly(spark):
+    """As many different contexts as base64 has: each has its own counts."""
+    r = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/\n"
+    texts = ["".join(r.choices(letters, k=20_000)).strip() for _ in range(100)]
+    df = spark.createDataFrame([(i, t, "a", "en", None, "t", 1) for i, t in enumerate(texts)], SCHEMA)
+    every = b"\0".join(folded(t) for t in texts)
+    rows = m.end_scores(df).filter("matched <= 4").collect()
+    assert len(rows) > 90
+    for x in rows:
+        end = folded(texts[x["doc"]])[-x["matched"] :]
+        after = [a for a in re.findall(b"(?=" + re.escape(end) + b"(.))", every, re.S) if a != b"\0"]
+        assert (x["t"], x["stops"]) == (len(after), after.count(b"\n")), end

@@ -27,8 +27,8 @@ UNSEEN = 0.5  # what an end that nothing else has counts for
 PRIOR_RATE = 5e-5  # cuts per position where nothing is known
 SUPPORT = 12  # occurrences that a context needs to be judged by
 BITS = 22  # log2 of the size of the filter of end contexts: 512 KB, whatever the corpus
-BIN_BITS = 20  # log2 of the bins in which contexts of the low orders are counted, of each source
 PART = 1 << 16
+HELD = 1 << 21  # positions of a source whose low orders are counted at once
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LUT = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LUT[48:58] = 49  # every digit is 0
@@ -48,17 +48,39 @@ def _mix(h: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 
 def _rolling(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each order, a number for the context that ends at each position; those of the low orders are bins."""
+    """Of each high order, a hash of the context that ends at each position."""
     h = codes.copy()
     for k in range(2, max(ORDERS) + 1):
         h[1:] = codes[1:] + h[:-1] * _P
         h[0] = codes[0]
-        if k in LOW:
-            yield k, (h * _Q) >> np.uint64(64 - BIN_BITS)
-        elif k in HIGH:
+        if k in HIGH:
             yield k, h
 
 
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """The last four characters at each position as one number, the last on top: of order k it is the
+    upper k bytes, so that one sorting counts all low orders, without collisions."""
+    c = codes.astype(np.uint8).astype(np.uint32)  # a byte 255 isn't in any text
+    out = c << np.uint32(24)
+    for j in (1, 2, 3):
+        out[j:] |= c[:-j] << np.uint32(24 - 8 * j)
+    return out
+
+
+def _contexts(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each order, a number for the context that ends at each position."""
+    packed = _packed(codes)
+    for k in LOW:
+        yield k, (packed >> np.uint32(32 - 8 * k)).astype(np.uint64)
+    yield from _rolling(codes)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values of a sorted array, and where each begins."""
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[at], at
+
+
 def _codes(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
     codes = _LUT[b]
@@ -82,7 +104,7 @@ def _end_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rows = np.array([i for i, x in enumerate(sources) if x == s])
             texts = [tails[i][-max(ORDERS) :] for i in rows]
             ends = np.cumsum([len(t) + len(_GAP) for t in texts]) - 1
-            for k, (order, h) in enumerate(_rolling(_codes(_GAP + _GAP.join(texts)))):
+            for k, (order, h) in enumerate(_contexts(_codes(_GAP + _GAP.join(texts)))):
                 out[rows, k] = _mix(h[ends], _salt(s, order)).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tails) + 1, dtype=np.int32) * len(ORDERS)), pa.array(out.ravel()))
         yield pa.RecordBatch.from_arrays([b.column("doc"), lists], names=["doc", "contexts"])
@@ -120,32 +142,41 @@ def _occurrences(bits):
         def passing(h: np.ndarray) -> np.ndarray:
             return wanted[(h >> np.uint64(64 - BITS)).view(np.int64)]
 
+        def low(s: str | None, inside: list[np.ndarray], stop: list[np.ndarray]) -> None:
+            every, stops = np.sort(np.concatenate(inside)), np.sort(np.concatenate(stop))
+            for k in LOW:
+                shift = np.uint32(32 - 8 * k)
+                keys, at = _runs(every >> shift)
+                ended, from_ = _runs(stops >> shift)
+                n = np.zeros(len(keys))
+                n[np.searchsorted(keys, ended)] = np.diff(from_, append=len(stops))
+                h = _mix(keys.astype(np.uint64), _salt(s, k))
+                ok = passing(h)
+                sums.add(h[ok], np.diff(at, append=len(every))[ok].astype(float), n[ok])
+
         for b in batches:
             by: dict[str | None, list[bytes]] = {}
             for s, t in zip(b.column("source").to_pylist(), b.column("text"), strict=True):
                 by.setdefault(s, []).append(t.as_py())
             for s, texts in by.items():
-                bins: dict[int, list[np.ndarray]] = {k: [] for k in LOW}
-                stops: dict[int, list[np.ndarray]] = {k: [] for k in LOW}
+                held, held_stops, size = [], [], 0
                 for raw in _limited(texts):
                     codes = _codes(raw)
                     after = np.append(codes[1:], np.uint64(0))
                     inside, stop = after != 0, after == _LUT[10]
+                    packed = _packed(codes)
+                    held.append(packed[inside])
+                    held_stops.append(packed[stop])
+                    size += len(held[-1])
+                    if size >= HELD:
+                        low(s, held, held_stops)
+                        held, held_stops, size = [], [], 0
                     for k, h in _rolling(codes):
-                        if k in LOW:
-                            bins[k].append(h[inside].astype(np.uint32))
-                            stops[k].append(h[stop].astype(np.uint32))
-                        else:
-                            h = _mix(h, _salt(s, k))
-                            at = np.flatnonzero(passing(h) & inside)
-                            sums.add(h[at], np.ones(len(at)), stop[at].astype(float))
-                for k in LOW:
-                    t = np.bincount(np.concatenate(bins[k]), minlength=1 << BIN_BITS)
-                    n = np.bincount(np.concatenate(stops[k]), minlength=1 << BIN_BITS)
-                    at = np.flatnonzero(t)
-                    h = _mix(at.astype(np.uint64), _salt(s, k))
-                    ok = passing(h)
-                    sums.add(h[ok], t[at[ok]].astype(float), n[at[ok]].astype(float))
+                        h = _mix(h, _salt(s, k))
+                        at = np.flatnonzero(passing(h) & inside)
+                        sums.add(h[at], np.ones(len(at)), stop[at].astype(float))
+                if held:
+                    low(s, held, held_stops)
         sums.fold()
         for i in range(0, len(sums.keys), 100_000):
             cut = slice(i, i + 100_000)
