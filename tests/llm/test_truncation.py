@@ -101,3 +101,21 @@ def test_contexts_are_counted_exactly(spark):
         end = folded(texts[x["doc"]])[-x["matched"] :]
         after = [a for a in re.findall(b"(?=" + re.escape(end) + b"(.))", every, re.S) if a != b"\0"]
         assert (x["t"], x["stops"]) == (len(after), after.count(b"\n")), end
+
+
+def test_contexts_across_pieces_and_of_all_orders(spark):
+    """A long text has its contexts counted wherever it is read in pieces; one of 16 and of 1 character, too."""
+    r = random.Random(5)
+    long = "".join(r.choices("abcdefgh \n", k=4 * m.PART))
+    cuts = range(m.PART, len(long) - m.PART + 1, m.PART)  # the end of the others lies across each, and elsewhere
+    for at in [*cuts, *range(1000, 31_000, 1500)]:
+        long = long[: at - 9] + "the very last end here"[-20:] + long[at + 11 :]
+    texts = [long + "q", *(f"{i}. {'wxyz'[i % 4]} the very last end here" for i in range(14)), "€", "Xb", "a" * 40]
+    df = spark.createDataFrame([(i, t, "a", "en", None, "t", 1) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    every = b"\0".join(folded(t) for t in texts)
+    rows = m.end_scores(df).filter("t is not null").collect()  # nothing else has the end of "€"
+    assert {1, 16} <= {x["matched"] for x in rows}
+    for x in rows:
+        end = folded(texts[x["doc"]])[-x["matched"] :]
+        after = [a for a in re.findall(b"(?=" + re.escape(end) + b"(.))", every, re.S) if a != b"\0"]
+        assert (x["t"], x["stops"]) == (len(after), after.count(b"\n")), (x["doc"], x["matched"])

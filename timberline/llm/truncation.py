@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from timberline.functions.stage import staged
 from timberline.session import shared_folder
 
-LOW, HIGH = (2, 3, 4), (6, 8, 12)
+LOW, HIGH = (1, 2, 3, 4), (6, 8, 12, 16)
 ORDERS = LOW + HIGH
 UNSEEN = 0.5  # what an end that nothing else has counts for
 PRIOR_RATE = 5e-5  # cuts per position where nothing is known
@@ -29,7 +29,8 @@ SUPPORT = 12  # occurrences that a context needs to be judged by
 BITS = 22  # log2 of the size of the filter of end contexts: 512 KB, whatever the corpus
 PART = 1 << 16
 HELD = 1 << 21  # positions of a source whose low orders are counted at once
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_STEPS = ((1, 1), (2, 2), (4, 2), (4, 4), (8, 4), (8, 8))
+_P_INT, _Q = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 _LUT = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LUT[48:58] = 49  # every digit is 0
 _GAP = b"\0" * max(ORDERS)
@@ -49,12 +50,13 @@ def _mix(h: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 def _rolling(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Of each high order, a hash of the context that ends at each position."""
-    h = codes.copy()
-    for k in range(2, max(ORDERS) + 1):
-        h[1:] = codes[1:] + h[:-1] * _P
-        h[0] = codes[0]
-        if k in HIGH:
-            yield k, h
+    hashes = {1: codes}
+    for a, b in _STEPS:  # a context of order a + b is one of order a, and before it one of order b
+        h = hashes[a].copy()
+        h[a:] += hashes[b][:-a] * np.uint64(pow(_P_INT, a, 1 << 64))
+        hashes[a + b] = h
+        if a + b in HIGH:
+            yield a + b, h
 
 
 def _packed(codes: np.ndarray) -> np.ndarray:
@@ -164,6 +166,7 @@ def _occurrences(bits):
                     codes = _codes(raw)
                     after = np.append(codes[1:], np.uint64(0))
                     inside, stop = after != 0, after == _LUT[10]
+                    inside[: max(ORDERS) - 1] = stop[: max(ORDERS) - 1] = False  # counted in the piece before
                     packed = _packed(codes)
                     held.append(packed[inside])
                     held_stops.append(packed[stop])
@@ -186,16 +189,18 @@ def _occurrences(bits):
 
 
 def _limited(texts: list[bytes]) -> Iterator[bytes]:
-    """The texts, with gaps between, in pieces of bounded size; a long text is cut into several, at whose
-    first positions the longer contexts see the gap."""
+    """The texts, with gaps between, in pieces of bounded size; each begins with the characters that the
+    longest context at the end of the one before has, as what follows that context is in this one."""
     part, size = [_GAP], 0
     for t in texts:
         for i in range(0, len(t), PART):
-            part += [t[i : i + PART], _GAP]
-            size += len(part[-2])
+            part.append(t[i : i + PART])
+            size += len(part[-1])
+            if i + PART >= len(t):
+                part.append(_GAP)
             if size >= PART:
-                yield b"".join(part)
-                part, size = [_GAP], 0
+                yield (raw := b"".join(part))
+                part, size = [raw[-len(_GAP) :]], 0
     if size:
         yield b"".join(part)
 
