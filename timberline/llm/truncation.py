@@ -5,7 +5,7 @@ how often texts end there and how often they go on, at every position of every t
 whole text ends where texts end; a cut falls anywhere, in proportion to how often its context occurs.
 The log-odds of the two, at the longest context with enough support, is the score; its threshold comes
 from each source's and language's own rate of cuts among the texts of which it is known. Layouts that say how they
-end, and a recorded number of cells, are checked exactly afterwards and overrule the score.
+end, and a recorded number of cells, are checked exactly in its place.
 """
 
 from __future__ import annotations
@@ -338,8 +338,8 @@ def field_limits(scores: DataFrame, share: float = 0.03, least: int = 4) -> Data
 def find_truncated(df: DataFrame, threshold: float = -2.0, **columns: str) -> DataFrame:
     """(doc, source, lang, log_odds, cut) of every text that has a non-blank character.
 
-    The score decides, and an exact check follows where there is one: a layout's own closing; the number
-    of cells recorded before the text was stored, more of which than are there prove a cut, and fewer the
+    An exact check decides where there is one, whatever the score; the score decides the rest. The checks
+    are: a layout's own closing; the number of cells recorded before the text was stored, more of which than are there prove a cut, and fewer the
     opposite; a field limit that the text fills without stopping at a sentence's end. A text that stops
     with a sentence, or whose last word is one that it has before, needs no further proof of being whole
     unless the score is clear. Null, empty and blank texts aren't listed. Rows with a null id are left out;
