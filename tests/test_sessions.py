@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from timberline.operators.sessions import cartesian, gap_tree, sessionize, sessions_at
+from timberline.plans import core_queries
 
 from .conftest import rows
 
@@ -57,3 +58,17 @@ def test_duration_and_empty(spark):
 def test_cartesian_nodes():
     first, last, gap = cartesian(np.array([2, 9, 1, 1, 4]))
     assert sorted(zip(first.tolist(), last.tolist(), gap.tolist(), strict=True)) == [(0, 1, 2), (0, 5, 9), (2, 4, 1), (2, 5, 4)]
+
+
+def test_query_cuts_the_tree_of_all_gaps(spark, monkeypatch):
+    asked, small = [], "/root/testdata/sf0.001"
+
+    def spy(*args):
+        asked.append(args[4:6])
+        return gap_tree(*args)
+
+    monkeypatch.setattr(core_queries, "gap_tree", spy)
+    found = core_queries.p1_found(spark, small)
+    assert asked == [(60_000_000, 86_400_000_000)]
+    plain = sessionize(core_queries.login_events(spark, small), ["hostname", "username"], "us", core_queries.SESSION_GAP_US, ["file_path", "line_number"])
+    assert rows(found) == rows(plain.select(*found.columns))

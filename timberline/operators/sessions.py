@@ -42,18 +42,6 @@ def cartesian(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(first, np.int64), np.array(last, np.int64), np.array(gap, np.int64)
 
 
-def tree_nodes(start: np.ndarray, end: np.ndarray, n: np.ndarray, inner: np.ndarray, left: int, right: int) -> pd.DataFrame:
-    """All nodes over a run of blocks, the blocks themselves included; the root comes last if there is
-    more than one block. ``left`` and ``right``: the gaps before and after the run."""
-    gaps = start[1:] - end[:-1]
-    f, l, g = cartesian(gaps)
-    k = np.arange(len(start))
-    f, l, g = np.concatenate([k, f]), np.concatenate([k, l]), np.concatenate([inner, g])
-    around = np.concatenate([[left], gaps, [right]])
-    total = np.concatenate([[0], np.cumsum(n)])
-    return pd.DataFrame({"start_us": start[f], "end_us": end[l], "n_events": total[l + 1] - total[f], "gap_us": g, "parent": np.minimum(around[f], around[l + 1])})
-
-
 def _sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Batches cut so that no group of the key columns is spread over two of them."""
     held: list[pd.DataFrame] = []
@@ -121,26 +109,24 @@ def _nodes(b: pd.DataFrame, keys: list[str], most: int, open_ends: bool) -> pd.D
     gap_after = np.append(gap_before[1:], INF)
     left_open = first[at] & open_ends
     right_open = np.append(first, True)[stop] & open_ends
-    one = stop - at == 1
-    alone = at[one]
-    single = b.iloc[alone][[*keys, *_BLOCK]].assign(parent=pd.array(np.minimum(gap_before[alone], gap_after[alone]), "Int64"))
-    single.loc[left_open[one] | right_open[one], "parent"] = pd.NA
-    out = [single]
-    for i, j, lo, ro in zip(at[~one].tolist(), stop[~one].tolist(), left_open[~one].tolist(), right_open[~one].tolist(), strict=True):
+    piece = run.copy()  # where a subtree begins
+    several = (stop - at > 1) & (left_open | right_open)
+    for i, j, lo, ro in zip(at[several].tolist(), stop[several].tolist(), left_open[several].tolist(), right_open[several].tolist(), strict=True):
         gaps = gap_before[i + 1 : j]
-        cut = np.zeros(len(gaps), bool)  # gaps of nodes that touch an open end
-        if lo:
-            cut |= gaps >= np.maximum.accumulate(gaps)
+        if lo:  # gaps of nodes that touch an open end
+            piece[i + 1 : j] |= gaps >= np.maximum.accumulate(gaps)
         if ro:
-            cut |= (gaps[::-1] >= np.maximum.accumulate(gaps[::-1]))[::-1]
-        edges = [i, *(np.flatnonzero(cut) + i + 1).tolist(), j]
-        for p, q in zip(edges[:-1], edges[1:], strict=True):
-            nodes = tree_nodes(start[p:q], end[p:q], n[p:q], inner[p:q], int(gap_before[p]), int(gap_after[q - 1]))
-            nodes["parent"] = nodes["parent"].astype("Int64")
-            if lo or ro:
-                nodes.loc[nodes.index[-1], "parent"] = pd.NA
-            out.append(nodes.assign(**{k: b[k].iloc[i] for k in keys}))
-    return pd.concat(out, ignore_index=True)[[*keys, *_BLOCK, "parent"]]
+            piece[i + 1 : j] |= (gaps[::-1] >= np.maximum.accumulate(gaps[::-1]))[::-1]
+    # all subtrees at once: as one tree in which they are apart by gaps without end, whose node is none of theirs
+    f, l, g = cartesian(np.where(piece, INF, gap_before)[1:])
+    f, l, g = f[g < INF], l[g < INF], g[g < INF]
+    k = np.arange(len(b))
+    f, l, g = np.concatenate([k, f]), np.concatenate([k, l]), np.concatenate([inner, g])
+    root = piece[f] & np.append(piece, True)[l + 1] & np.repeat(left_open | right_open, stop - at)[f]
+    total = np.concatenate([[0], np.cumsum(n)])
+    out = b.iloc[f][keys].reset_index(drop=True)
+    parent = pd.Series(np.minimum(gap_before[f], gap_after[l]), dtype="Int64").mask(root)
+    return out.assign(start_us=start[f], end_us=end[l], n_events=total[l + 1] - total[f], gap_us=g, parent=parent)[[*keys, *_BLOCK, "parent"]]
 
 
 def gap_tree(events: DataFrame, entity: list[str], us: str, ids: list[str] | None = None, least_us: int = 0, most_us: int = 86_400_000_000, chunk_us: int = 6 * 3_600_000_000) -> DataFrame:
@@ -183,5 +169,8 @@ def sessions_at(tree: DataFrame, gap_us: int) -> DataFrame:
 
 
 def sessionize(events: DataFrame, entity: list[str], us: str, gap_us: int, ids: list[str] | None = None) -> DataFrame:
-    """(entity..., start_us, end_us, n_events, duration_us) for one gap setting; see :func:`gap_tree`."""
+    """(entity..., start_us, end_us, n_events, duration_us) for one gap setting; see :func:`gap_tree`.
+
+    Only this gap can be selected, so the trees are of single blocks.
+    """
     return sessions_at(gap_tree(events, entity, us, ids, gap_us, gap_us), gap_us)

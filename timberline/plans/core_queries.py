@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators.entries import entries_of_lines, entries_of_texts
 from timberline.operators.instants import resolve_instants
-from timberline.operators.sessions import gap_tree, sessionize
+from timberline.operators.sessions import gap_tree, sessions_at
 
 SESSION_GAP_US = 1_800 * 1_000_000
 
@@ -31,8 +31,8 @@ def login_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = sessionize(login_events(spark, d), ["hostname", "username"], "us", SESSION_GAP_US, ["file_path", "line_number"])
-    return found.select("hostname", "username", "start_us", "end_us", "n_events")
+    """The tree of :func:`p1_gap_tree`, cut at one gap."""
+    return sessions_at(p1_gap_tree(spark, d), SESSION_GAP_US).select("hostname", "username", "start_us", "end_us", "n_events")
 
 
 def p1_gap_tree(spark: SparkSession, d: str) -> DataFrame:
