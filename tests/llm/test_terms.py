@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from timberline.llm import queries
 from timberline.llm.terms import TermCounts, letter_runs, record_changes, term_deltas
 from timberline.session import shared_folder
 
@@ -53,3 +54,20 @@ def test_changes_add_up_to_a_recount(spark):
 def test_empty(spark):
     c = TermCounts(spark, shared_folder(spark, "t")).update(deltas(spark.createDataFrame([], SCHEMA)))
     assert (c.marked().count(), c.total()) == (0, 0)
+
+
+def test_updates_rewrite_only_touched_partitions(spark):
+    before = spark.createDataFrame([(i, " ".join(chr(97 + i % 26) * k for k in range(1, 20)), "p", "x", "y") for i in range(52)], SCHEMA)
+    first = TermCounts(spark, shared_folder(spark, "t")).update(deltas(before))
+    second = first.update(deltas(spark.createDataFrame([(99, "aa", None, "x", "y")], SCHEMA)))
+    assert len(first.parts()) > 32
+    assert {v for v in first.parts().values()} == {1}
+    assert sum(v == 2 for v in second.parts().values()) == 2  # of "aa", and of the number of records
+    assert second.total() == 53
+    empty = second.update(second.read().selectExpr("field_name", "term", "-occurrences as occurrences", "-records as records"))
+    assert (empty.parts(), empty.read().count()) == ({}, 0)
+
+
+def test_updated_query_is_a_recount(spark):
+    small = "/root/testdata/sf0.001"
+    assert rows(queries.p4_updated(spark, small)) == rows(queries.p4_counts(spark, small))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timberline.llm.encode import decode, encode
 from timberline.llm.mix import mix, mix_shares
 from timberline.llm.runs import collapse_runs, masked_words, similar_runs
-from timberline.llm.terms import TermCounts, letter_runs, term_deltas
+from timberline.llm.terms import TermCounts, letter_runs, record_changes, term_deltas
 from timberline.llm.truncation import find_truncated, truncation_rates
 from timberline.operators.instants import resolve_instants
 from timberline.session import shared_folder
@@ -67,6 +67,19 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d).marked().select("field_name", "term", "occurrences", "records")
 
 
+def p4_updated(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of an earlier state of the table, with late, changed and removed lines applied to them."""
+    shared_folder(spark, "term-states")
+    now = _lines(_table(spark, d, "canonical").select(*LINE, "message", "process", "event")).checkpoint()
+    part = F.pmod(F.xxhash64(*LINE), F.lit(50))
+    before = now.filter(part != 0).withColumn("process", F.when(part == 1, "renamed").otherwise(F.col("process")))
+    before = before.unionByName(now.filter(part == 2).withColumn("line_number", -F.col("line_number") - 1)).checkpoint()
+    removed, added = record_changes(before, now, LINE, ["message", "process", "event"])
+    counts = TermCounts(spark, shared_folder(spark, "term-counts")).update(_line_deltas(before))
+    counts = counts.update(_line_deltas(removed, -1).unionByName(_line_deltas(added)))
+    return counts.marked().select("field_name", "term", "occurrences", "records")
+
+
 # --- 6: encoding
 
 
@@ -107,7 +120,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(find_truncated(_table(spark, d, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_reached": p7_shares_reached, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts, "p4_updated": p4_updated, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_reached": p7_shares_reached, "p8_found": p8_found, "p8_rates": p8_rates}
 
 ORACLE = {
     "p3_found": """
@@ -127,3 +140,4 @@ ORACLE = {
 ORACLE["p4_found"] = f"""
     with c as ({ORACLE["p4_counts"]}), n as (select count(distinct (file_path, line_number)) as lines from canonical)
     select field_name, term, case when occurrences < 5 then 'rare' else 'common' end as mark from c, n where occurrences < 5 or records > lines * 0.1"""
+ORACLE["p4_updated"] = ORACLE["p4_counts"]

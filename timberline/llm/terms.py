@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 TOTAL = ""  # the field whose one row counts the records themselves
 BUCKETS = 64
+SCHEMA = "field_name string, term string, occurrences bigint, records bigint"
 
 
 def letter_runs(text: Column) -> Column:
@@ -53,18 +54,40 @@ def merge_counts(*tables: DataFrame) -> DataFrame:
 
 
 class TermCounts:
-    """The persistent counts: each update writes the next version beside the last and reads only that."""
+    """The persistent counts, partitioned by a hash of the term: each update writes those partitions anew
+    that its deltas touch, beside the last versions, and a list of the version of every partition."""
 
     def __init__(self, spark: SparkSession, path: str, version: int = 0):
         self.spark, self.path, self.version = spark, path, version
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+    def parts(self) -> dict[int, int]:
+        """The version in which each partition that has rows was last written."""
+        rows = self.spark.read.schema("bucket int, version int").parquet(f"{self.path}/m{self.version}").collect() if self.version else []
+        return {r["bucket"]: r["version"] for r in rows}  # at most BUCKETS
+
+    def read(self, buckets: set[int] | None = None) -> DataFrame:
+        by: dict[int, list[int]] = {}
+        for b, v in self.parts().items():
+            if buckets is None or b in buckets:
+                by.setdefault(v, []).append(b)
+        none = self.spark.createDataFrame([], SCHEMA)
+        tables = [self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(f"{self.path}/v{v}").filter(F.col("bucket").isin(x)).drop("bucket") for v, x in by.items()]
+        return reduce(DataFrame.unionByName, tables) if tables else none
 
     def update(self, deltas: DataFrame) -> TermCounts:
-        merged = merge_counts(self.read(), deltas) if self.version else deltas.filter("occurrences <> 0 or records <> 0")
-        new = TermCounts(self.spark, self.path, self.version + 1)
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{new.version}")
+        bucket = F.pmod(F.hash("term"), F.lit(BUCKETS)).alias("bucket")
+        old, new = self.parts(), TermCounts(self.spark, self.path, self.version + 1)
+        touched: set[int] = set()
+        if old:
+            deltas = deltas.checkpoint()
+            touched = {r["bucket"] for r in deltas.select(bucket).distinct().collect()}  # at most BUCKETS
+            deltas = merge_counts(self.read(touched), deltas)
+        rows = deltas.filter("occurrences <> 0 or records <> 0").select("*", bucket)
+        at = f"{self.path}/v{new.version}"
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        written = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(at).select("bucket").distinct().collect()
+        now = {b: v for b, v in old.items() if b not in touched} | {r["bucket"]: new.version for r in written}
+        self.spark.createDataFrame(list(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/m{new.version}")
         return new
 
     def total(self) -> int:
