@@ -119,3 +119,11 @@ def test_contexts_across_pieces_and_of_all_orders(spark):
         end = folded(texts[x["doc"]])[-x["matched"] :]
         after = [a for a in re.findall(b"(?=" + re.escape(end) + b"(.))", every, re.S) if a != b"\0"]
         assert (x["t"], x["stops"]) == (len(after), after.count(b"\n")), (x["doc"], x["matched"])
+
+
+def test_stop_inside_code_is_no_sentence_end(spark):
+    r = random.Random(6)
+    texts = [" ".join(f"y = np.{r.choice(['sum', 'abs', 'exp'])}(x)" for _ in range(1000)) + f"\n\nThe {r.choice(['mean', 'rest'])} holds." for _ in range(60)]
+    texts[7] = texts[7][: texts[7].rindex("np.") + 3]
+    out = m.find_truncated(spark.createDataFrame([(i, t, "a", "en", None, "t", 1) for i, t in enumerate(texts)], SCHEMA))
+    assert [x["doc"] for x in out.filter("cut").collect()] == [7]

@@ -25,6 +25,7 @@ LOW, HIGH = (1, 2, 3, 4), (6, 8, 12, 16)
 ORDERS = LOW + HIGH
 UNSEEN = 0.5  # what an end that nothing else has counts for
 PRIOR_RATE = 5e-5  # cuts per position where nothing is known
+CLEAR = 2.0  # log-odds of a cut beyond which a stop at the end proves nothing
 SUPPORT = 12  # occurrences that a context needs to be judged by
 BITS = 22  # log2 of the size of the filter of end contexts: 512 KB, whatever the corpus
 PART = 1 << 16
@@ -351,7 +352,8 @@ def find_truncated(df: DataFrame, threshold: float = -2.0, **columns: str) -> Da
     full = F.when(F.col("unit") == "chars", F.col("n_chars").between(F.col("most") - 1, F.col("most"))).otherwise(F.col("n_bytes").between(F.col("most") - 3, F.col("most")))
     full = F.coalesce(full, F.lit(False))
     odds = F.coalesce("log_odds", F.lit(0.0))
-    scored = (odds > threshold) & ~F.col("stopped") & ~(F.col("word_again") & (odds < 0.5))
+    # a stop inside code or a number is no sentence's end; there, texts go on so often that the score is clear
+    scored = (odds > threshold) & ~(F.col("stopped") & (odds < CLEAR)) & ~(F.col("word_again") & (odds < 0.5))
     cut = (
         F.when(F.col("missing") > 0, True)
         .when(F.col("closed").isNotNull(), ~F.col("closed"))
