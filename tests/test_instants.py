@@ -1,10 +1,12 @@
+import itertools
+import random
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-import numpy as np
+import pandas as pd
 import pytest
 
-from timberline.operators.instants import chunk_costs, resolve_instants
+from timberline.operators.instants import best_path, border_readings, cost_matrix, entry_cost, resolve_instants, step_cost
 
 FILES = "file_path string, hostname string, time_zone string, opened_at timestamp_ntz"
 
@@ -52,6 +54,7 @@ def resolve(spark, texts, zone="America/New_York", opened=datetime(2023, 11, 5))
         ("", None),
         ("n/a", None),
         (None, None),
+        ("2023-06-01" + " " * 250 + "12:00:00 UTC", us(2023, 6, 1, 12)),
         ("9" * 100_000, None),
         ("x" + " " * 100_000 + "y", None),
     ],
@@ -96,10 +99,42 @@ def test_chunks_of_lines_agree_with_one(spark, monkeypatch):
     assert sum(b < a for a, b in zip(whole, whole[1:], strict=False)) == 0
 
 
-def test_change_costs():
-    wall, unit, line = np.array([10, 30, 20]), np.ones(3, int), np.arange(3)
-    stay1, stay2, change, at, first = chunk_costs(wall, unit, line, np.zeros(3, int))
-    assert (stay1, stay2, change, at, first) == (2.0, 2.0, 1.0, 2, False)
+def test_path_against_all_paths():
+    r = random.Random(3)
+    for _ in range(60):
+        rows = [[(r.randrange(2), 0, 100 * i + r.randrange(150))] if r.random() < 0.3 else [(0, 1, t := 100 * i + r.randrange(150)), (0, 2, t + 300)] if r.random() < 0.5 else [(0, 0, 100 * i), (1, 0, r.randrange(900))] for i in range(7)]
+        units = [r.choice((1, 10)) for _ in rows]
+
+        def cost(path, rows=rows, units=units):
+            got = [rows[i][j] for i, j in enumerate(path)]
+            return entry_cost(got[0]) + sum(step_cost(a, b, max(units[i], units[i + 1])) for i, (a, b) in enumerate(zip(got, got[1:], strict=False)))
+
+        best = min(cost(p) for p in itertools.product(*[range(len(x)) for x in rows]))
+        assert cost(best_path(rows, units)) == best
+        ends = []
+        for a, b in ((0, 2), (2, 3), (3, 7)):
+            ends.append(([units[a], [x for t in rows[a] for x in t], units[b - 1], [x for t in rows[b - 1] for x in t], cost_matrix(rows[a:b], units[a:b]).ravel().tolist()]))
+        borders = border_readings(pd.DataFrame(ends, columns=["unit0", "reads0", "unit1", "reads1", "costs"]))
+        joined = [j for (a, b), (f, l) in zip(((0, 2), (2, 3), (3, 7)), borders, strict=True) for j in best_path(rows[a:b], units[a:b], f, l)]
+        assert cost(joined) == best
+
+
+def test_neighbours_decide_the_order_of_day_and_month(spark, monkeypatch):
+    from timberline.operators import instants
+
+    files = spark.createDataFrame([("a", "h", None, None), ("b", "h", None, None)], FILES)
+    # 3 April in one file, 4 March in the other; only the last line says which, or the neighbours in ISO
+    data = [("a", 1, "03/04/2023 10:00:00"), ("a", 2, "03/04/2023 10:05:00"), ("a", 3, "13/04/2023 09:00:00"), ("b", 1, "2023-03-04 09:00:00"), ("b", 2, "03/04/2023 10:00:00"), ("b", 3, "2023-03-05 09:00:00"), ("b", 3, "2023-03-05 09:00:00")]
+    df = spark.createDataFrame(data, "file_path string, line_number bigint, timestamp string")
+    want = {("a", 1): us(2023, 4, 3, 10), ("a", 2): us(2023, 4, 3, 10, 5), ("a", 3): us(2023, 4, 13, 9), ("b", 1): us(2023, 3, 4, 9), ("b", 2): us(2023, 3, 4, 10), ("b", 3): us(2023, 3, 5, 9)}
+    for lines in (1 << 17, 1):
+        monkeypatch.setattr(instants, "CHUNK_LINES", lines)
+        got = resolve_instants(df, files, orders=("mdy", "dmy"))
+        assert got.count() == len(data)
+        assert {(r["file_path"], r["line_number"]): r["utc_us"] for r in got.collect()} == want
+    only = {(r["file_path"], r["line_number"]): r["utc_us"] for r in resolve_instants(df, files).collect()}
+    assert only[("a", 1)] == us(2023, 3, 4, 10)
+    assert only[("a", 3)] is None
 
 
 def test_empty_null_and_clashing(spark):

@@ -1,8 +1,10 @@
 """Timestamp texts to instants, as native column expressions.
 
-A text is cleaned, matched against the layouts below, and turned into an array of every instant
-(microseconds since 1970, UTC) that it can mean: none for damaged text, one for most, two for a
-wall-clock reading that the zone shows twice. Nothing here depends on the session time zone.
+A text is cleaned, matched against every layout below, and turned into the array of all readings that
+are valid for it: none for damaged text, one for most, two for a wall clock that the zone shows twice,
+and those of every layout that has the text, such as both orders of day and month. A reading is its
+layout, its pass through a repeated hour (0 outside of one) and its instant (microseconds since 1970,
+UTC). Nothing here depends on the session time zone.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 DAYLIGHT = r"^([a-z]{1,3}dt|cest|eest|west|mest|bst)$"
 
 DAY_US = 86_400_000_000
-LONGEST = 200  # characters of a time stamp
 _ZONE = r"(z|utc|[+-]\d\d:?\d\d|[a-z]{2,5})?"
 _FRAC = r"(?:[.,](\d{1,9}))?"
 
@@ -33,27 +34,30 @@ LAYOUTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "short": (r"^(\d\d)(\d\d)(\d\d) (\d\d)(\d\d)(\d\d)$", ("yy", "m", "d", "h", "mi", "s")),
     "mail": (rf"^(?:[a-z]{{3}}, ?)?(\d{{1,2}}) ([a-z]{{3}}) (\d{{4}}) (\d\d):(\d\d):(\d\d){_FRAC} ?{_ZONE}$", ("d", "mon", "y", "h", "mi", "s", "f", "z")),
     "basic": (rf"^(\d{{4}})(\d\d)(\d\d)t(\d\d)(\d\d)(\d\d){_FRAC}{_ZONE}$", ("y", "m", "d", "h", "mi", "s", "f", "z")),
+    "eu": (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}),? (\d{{1,2}}):(\d\d):(\d\d){_FRAC} ?(am|pm)?$", ("d", "m", "y", "h", "mi", "s", "f", "ap")),
     "dotted": (r"^(\d{4})-(\d\d)-(\d\d)-(\d\d)\.(\d\d)\.(\d\d)(?:\.(\d{1,9}))?$", ("y", "m", "d", "h", "mi", "s", "f")),
 }
+#: layouts of numbers between slashes, by the order that they stand for; only these share texts
+ORDERS = {"mdy": "us", "dmy": "eu"}
+READS = "array<struct<layout:int,pass:int,us:bigint>>"
 _EPOCH = r"^(\d{10}|\d{13}|\d{16}|\d{10}\.\d{1,9})$"
 _FIELDS = ("y", "yy", "m", "mon", "d", "h", "mi", "s", "f", "z", "ap")
 
 
 def clean(text: Column) -> Column:
     """Lower case, without blanks and brackets around it, inner runs of blanks as one."""
-    bare = F.trim(text, F.lit(BLANKS + "[](){}<>"))
-    return F.regexp_replace(F.lower(F.when(F.length(bare) <= LONGEST, bare)), r"\s+", " ")
+    return F.regexp_replace(F.lower(F.trim(text, F.lit(BLANKS + "[](){}<>"))), r"\s+", " ")
 
 
-def _parts(t: Column) -> Column:
-    """A struct of the text's fields; every field is '' where no layout has it."""
-    cases = None
-    for name, (pattern, groups) in LAYOUTS.items():
+def _parts(t: Column, layouts: list[str]) -> Column:
+    """The text's fields by every layout that has it; a field is '' where the layout has none."""
+    found = []
+    for name in layouts:
+        pattern, groups = LAYOUTS[name]
         at = {g: i for i, g in enumerate(groups, 1)}
         template = "|".join(f"${at[f]}" if f in at else "" for f in _FIELDS)
-        value = F.concat(F.regexp_replace(t, pattern, template), F.lit("|" + name))
-        cases = F.when(t.rlike(pattern), value) if cases is None else cases.when(t.rlike(pattern), value)
-    return F.split(cases, r"\|")
+        found.append(F.when(t.rlike(pattern), F.split(F.concat(F.regexp_replace(t, pattern, template), F.lit("|" + name)), r"\|")))
+    return F.array_compact(F.array(*found))
 
 
 def _int(c: Column) -> Column:
@@ -78,17 +82,19 @@ def wall_of(us: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
 
 
-def with_readings(df, text: str, zone: Column, opened: Column):
-    """Adds columns of each row's reading.
+def with_readings(df, text: str, zone: Column, opened: Column, orders: tuple[str, ...] = ("mdy",)):
+    """Adds columns of each row's readings.
 
-    ``_cands`` array of instants (null or empty: none), ``_wall`` wall clock in the zone, ``_fold``
-    the local day number where the zone shows that wall clock twice (else null), ``_unit`` the
-    precision in microseconds. ``zone``: IANA name, null for UTC. ``opened``: TIMESTAMP_NTZ in UTC.
+    ``_reads`` all valid readings (empty: none), in the order of ``LAYOUTS`` and of time; ``_unit`` the
+    precision in microseconds; ``_fold`` the local day number where a reading is in a repeated hour (else
+    null). ``zone``: IANA name, null for UTC. ``opened``: TIMESTAMP_NTZ in UTC, which years left out are
+    counted from. ``orders``: what numbers between slashes can be.
     """
-    t = clean(F.col(text))
+    layouts = [n for n in LAYOUTS if n not in ORDERS.values() or n in [ORDERS[o] for o in orders]]
     df = df.withColumns({"_z": F.coalesce(F.nullif(F.trim(zone), F.lit("")), F.lit("UTC")), "__opened": opened.cast("timestamp_ntz")})
-    df = staged(staged(df, {"_t": t}), {"_p": _parts(F.col("_t"))})
-    p = {f: F.col("_p")[i] for i, f in enumerate((*_FIELDS, "layout"))}
+    df = staged(staged(df, {"_t": clean(F.col(text))}), {"_p": _parts(F.col("_t"), layouts)})
+    opened_us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', __opened)")
+    df = staged(df, {"_open": F.when(F.exists("_p", lambda x: x[len(_FIELDS)] == "bsd"), F.floor(wall_of(opened_us, F.col("_z")) / F.lit(DAY_US)).cast("int"))})
     epoch = F.col("_t").rlike(_EPOCH)
     digits = F.regexp_extract(F.col("_t"), r"^(\d+)", 1)
     whole = F.when(epoch & digits.rlike(r"^\d{10,16}$"), digits).cast("bigint")
@@ -97,43 +103,65 @@ def with_readings(df, text: str, zone: Column, opened: Column):
         .when(F.length(digits) == 13, whole * 1000)
         .otherwise(whole)
     )
+    df = staged(df, {"_epoch": F.when(epoch, epoch_us)})
+    slots = max(1, len(set(orders) & set(ORDERS)))  # the other layouts have no text in common
+    reads, folds, units = [], [], []
+    for i in range(slots):
+        df = _reading(df, i)
+        a, b, two, lay = (F.col(f"_{x}{i}") for x in ("a", "b", "two", "lay"))
+        one = F.when(two, 1).otherwise(0)
+        reads += [F.when(a.isNotNull(), F.struct(lay.alias("layout"), one.alias("pass"), a.alias("us"))), F.when(b.isNotNull(), F.struct(lay.alias("layout"), F.lit(2).alias("pass"), b.alias("us")))]
+        folds.append(F.when(two, F.floor(F.col(f"_w{i}") / F.lit(DAY_US)).cast("bigint")))
+        units.append(F.col(f"_unit{i}"))
+    made = [f"_{x}{i}" for i in range(slots) for x in ("a", "b", "two", "lay", "w", "unit")]
+    df = staged(df, {"_reads": F.array_compact(F.array(*reads)).cast(READS), "_fold": F.coalesce(*folds), "_unit": F.coalesce(*units)})
+    return df.drop("_t", "_p", "_z", "_epoch", "__opened", "_open", *made)
+
+
+def _reading(df, i: int):
+    """The one or two instants of the i-th layout that has the text: ``_a`` and ``_b`` with its number."""
+    name = {x: f"_{x}{i}" for x in ("q", "y", "m", "d", "us", "zt", "len", "lay", "read", "fixed", "w", "ca", "cb", "a", "b", "two", "unit")}
+    df = staged(df, {name["q"]: F.get("_p", F.lit(i))})
+    p = {f: F.col(name["q"])[k] for k, f in enumerate((*_FIELDS, "layout"))}
     month = F.coalesce(_int(p["m"]), F.when(p["mon"] != "", F.array_position(F.array(*[F.lit(x) for x in MONTHS]), p["mon"]).cast("int")))
     year = F.coalesce(_int(p["y"]), _int(p["yy"]) + 2000)
     hour = _int(p["h"])
     clock = F.when(p["ap"] == "", F.when(hour <= 23, hour)).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(p["ap"] == "pm", 12).otherwise(0))
     of_day = F.when((_int(p["mi"]) <= 59) & (_int(p["s"]) <= 59), (clock * 3600 + _int(p["mi"]) * 60 + _int(p["s"])).cast("bigint") * 1_000_000) + F.when(p["f"] != "", _micros(p["f"])).otherwise(0)
-    df = staged(df, {"_y": year, "_m": month, "_d": _int(p["d"]), "_us": of_day, "_zt": p["z"], "_len": F.length(p["f"]), "_lay": p["layout"], "_epoch": F.when(epoch, epoch_us)})
-    opened_us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', __opened)")
-    df = staged(df, {"_open": F.when(F.col("_lay") == "bsd", F.floor(wall_of(opened_us, F.col("_z")) / F.lit(DAY_US)).cast("int"))})
+    numbers = F.create_map(*[F.lit(x) for kv in enumerate(LAYOUTS) for x in kv[::-1]])
+    lay = F.coalesce(F.try_element_at(numbers, p["layout"]), F.lit(len(LAYOUTS)))
+    df = staged(df, {name["y"]: year, name["m"]: month, name["d"]: _int(p["d"]), name["us"]: of_day, name["zt"]: p["z"], name["len"]: F.length(p["f"]), name["lay"]: lay})
     y0 = F.year(F.date_from_unix_date(F.col("_open")))
+    m, d, zt = (F.col(name[x]) for x in ("m", "d", "zt"))
 
     def first(years: int) -> Column:
-        tries = [_date(y0 + k, F.col("_m"), F.col("_d")) for k in range(years + 1)]
+        tries = [_date(y0 + k, m, d) for k in range(years + 1)]
         return F.coalesce(*[F.when(x >= F.col("_open"), x) for x in tries])
 
-    yearless = F.when((F.col("_m") == 2) & (F.col("_d") == 29), first(8)).otherwise(first(1))
-    day = F.when(F.col("_lay") == "bsd", yearless).otherwise(_date(F.col("_y"), F.col("_m"), F.col("_d")))
-    df = staged(df, {"_read": day.cast("bigint") * DAY_US + F.col("_us")})
-    zt, sign = F.col("_zt"), F.when(F.col("_zt").startswith("-"), -1).otherwise(1)
+    yearless = F.when((m == 2) & (d == 29), first(8)).otherwise(first(1))
+    day = F.when(F.col(name["lay"]) == list(LAYOUTS).index("bsd"), yearless).otherwise(_date(F.col(name["y"]), m, d))
+    df = staged(df, {name["read"]: day.cast("bigint") * DAY_US + F.col(name["us"])})
+    sign = F.when(zt.startswith("-"), -1).otherwise(1)
     is_offset = zt.rlike(r"^[+-]")
     hh, mm = F.substring(zt, 2, 2), F.substring(zt, -2, 2)
     offset = F.when(is_offset & (F.when(is_offset, hh).cast("int") <= 18) & (F.when(is_offset, mm).cast("int") <= 59), sign * (F.when(is_offset, hh).cast("bigint") * 3600 + F.when(is_offset, mm).cast("bigint") * 60) * 1_000_000).when(zt.isin("z", "utc"), F.lit(0).cast("bigint"))
     zoned = is_offset | zt.isin("z", "utc")
-    fixed = F.coalesce(F.col("_epoch"), F.when(zoned, F.col("_read") - offset))
-    df = staged(df, {"_fixed": fixed})
-    df = staged(df, {"_wall": F.when(F.col("_fixed").isNotNull(), wall_of(F.col("_fixed"), F.col("_z"))).when(~F.coalesce(zoned, F.lit(False)), F.col("_read"))})
-    w, z = F.col("_wall"), F.col("_z")
+    stated = F.when(zoned, F.col(name["read"]) - offset)
+    df = staged(df, {name["fixed"]: F.coalesce(F.col("_epoch"), stated) if i == 0 else stated})
+    fixed, z, w = F.col(name["fixed"]), F.col("_z"), F.col(name["w"])
+    df = staged(df, {name["w"]: F.when(fixed.isNotNull(), wall_of(fixed, z)).when(~F.coalesce(zoned, F.lit(False)), F.col(name["read"]))})
     # the zone's offsets a day before and after: the two that a change between them can leave valid
-    ca = w - (wall_of(w - DAY_US, z) - (w - DAY_US))
-    cb = w - (wall_of(w + DAY_US, z) - (w + DAY_US))
-    df = staged(df, {"_ca": F.least(ca, cb), "_cb": F.greatest(ca, cb)})
-    valid = [F.when(wall_of(F.col(c), z) == w, F.col(c)) for c in ("_ca", "_cb")]
-    df = staged(df, {"_ca": valid[0], "_cb": F.when(F.col("_ca") != F.col("_cb"), valid[1])})
-    df = df.withColumn("_both", F.when(F.col("_ca").isNotNull() & F.col("_cb").isNotNull(), F.array("_ca", "_cb")).when(F.coalesce("_ca", "_cb").isNotNull(), F.array(F.coalesce("_ca", "_cb"))))
-    two = F.size("_both") == 2
+    before = w - (wall_of(w - DAY_US, z) - (w - DAY_US))
+    after = w - (wall_of(w + DAY_US, z) - (w + DAY_US))
+    ca, cb = F.col(name["ca"]), F.col(name["cb"])
+    df = staged(df, {name["ca"]: F.least(before, after), name["cb"]: F.greatest(before, after)})
+    df = staged(df, {name["ca"]: F.when(wall_of(ca, z) == w, ca), name["cb"]: F.when((ca != cb) & (wall_of(cb, z) == w), cb)})
     abbreviated = (zt != "") & ~zoned
-    free = F.when(two & abbreviated, F.when(zt.rlike(DAYLIGHT), F.slice("_both", 1, 1)).otherwise(F.slice("_both", 2, 1))).otherwise(F.col("_both"))
-    df = staged(df, {"_cands": F.when(F.col("_fixed").isNotNull(), F.array(F.col("_fixed"))).otherwise(free)})
-    df = df.withColumn("_fold", F.when(two, F.floor(w / F.lit(DAY_US)).cast("bigint")))
-    df = df.withColumn("_unit", F.when(F.col("_epoch").isNotNull(), F.lit(1).cast("bigint")).otherwise(F.pow(F.lit(10), F.greatest(F.lit(0), 6 - F.col("_len"))).cast("bigint")))
-    return df.drop("_t", "_p", "_z", "_y", "_m", "_d", "_us", "_zt", "_len", "_lay", "_epoch", "__opened", "_open", "_read", "_fixed", "_ca", "_cb")
+    daylight = zt.rlike(DAYLIGHT)
+    two = ca.isNotNull() & cb.isNotNull()
+    # a stated instant is one reading, a zone abbreviation chooses among two
+    a = F.when(fixed.isNotNull(), F.when(~two | (fixed == ca), fixed)).when(two & abbreviated & ~daylight, None).when(two, ca).otherwise(F.coalesce(ca, cb))
+    b = F.when(fixed.isNotNull(), F.when(two & (fixed != ca), fixed)).when(two & ~(abbreviated & daylight), cb)
+    unit = F.pow(F.lit(10), F.greatest(F.lit(0), 6 - F.col(name["len"])))
+    df = staged(df, {name["a"]: a, name["b"]: b, name["two"]: two, name["unit"]: (F.when(F.col("_epoch").isNotNull(), F.lit(1)).otherwise(unit) if i == 0 else unit).cast("bigint")})
+    return df.drop(*[name[x] for x in ("q", "y", "m", "d", "us", "zt", "len", "read", "fixed", "ca", "cb")])
