@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pandas as pd
 
+from timberline.operators import sessions
 from timberline.operators.sessions import cartesian, gap_tree, sessionize, sessions_at
 from timberline.plans import core_queries
 
@@ -49,6 +51,20 @@ def test_one_tree_serves_every_gap(spark):
             assert rows(sessions_at(tree, gap).drop("duration_us")) == brute(data, gap), (chunk, gap)
 
 
+def test_pieces_of_few_rows(spark, monkeypatch):
+    data = events(5, 300)
+    ids = [(*e[:2], None if e[2] is None else 7, *e[3:]) for e in events(6, 40)]
+    monkeypatch.setattr(sessions, "PIECE_ROWS", 3)
+    spark.sparkContext.setLogLevel("ERROR")
+    frames = [pd.DataFrame({"k": list("aab"), "us": [1, 1, 1]}), pd.DataFrame({"k": list("bbb"), "us": [1, 2, 2]}), pd.DataFrame({"k": [], "us": []}), pd.DataFrame({"k": ["b"], "us": [2]})]
+    assert [x["k"].tolist() for x in sessions._pieces(iter(frames), ["k", "us"])] == [["a", "b", "b"]]
+    for rows_in in (data, ids):
+        df = spark.createDataFrame(rows_in, SCHEMA)
+        tree = gap_tree(df, ["host", "who"], "us", ["f", "n"], 2, 500, 64).cache()
+        for gap in (2, 17, 120):
+            assert rows(sessions_at(tree, gap).drop("duration_us")) == brute(rows_in, gap)
+
+
 def test_duration_and_empty(spark):
     assert sessionize(spark.createDataFrame([], SCHEMA), ["host"], "us", 5).count() == 0
     df = spark.createDataFrame([("A", "x", 3, "f", 1, ""), ("A", "x", 9, "f", 2, "")], SCHEMA)

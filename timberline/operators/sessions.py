@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INF = np.iinfo(np.int64).max
+OPEN = -1
+PIECE_ROWS = 1 << 18
 _BLOCK = ("start_us", "end_us", "n_events", "gap_us")
 
 
@@ -42,36 +44,51 @@ def cartesian(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(first, np.int64), np.array(last, np.int64), np.array(gap, np.int64)
 
 
+def _pieces(batches: Iterator[pd.DataFrame], same: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches in pieces of about ``PIECE_ROWS``, rows that repeat the one before in all columns of
+    ``same`` left out."""
+    held: list[pd.DataFrame] = []
+    size, last = 0, None
+    for b in batches:
+        if not len(b):
+            continue
+        if same:
+            keep = _starts(b, same)
+            if last is not None and all(last[c] == b[c].iloc[0] for c in same):
+                keep[0] = False
+            last = b.iloc[-1]
+            b = b[keep]
+        held.append(b)
+        size += len(b)
+        if size >= PIECE_ROWS:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Batches cut so that no group of the key columns is spread over two of them."""
     held: list[pd.DataFrame] = []
     for b in batches:
         if not len(b):
             continue
-        same = np.ones(len(b), bool)
-        for c in keys:
-            same &= (b[c] == b[c].iloc[-1]).to_numpy()
-        k = len(b) - int(np.argmin(same[::-1])) if not same.all() else 0
-        if held and k == 0 and all(held[-1][c].iloc[-1] == b[c].iloc[0] for c in keys):
+        at = int(np.flatnonzero(_starts(b, keys))[-1])
+        if held and at == 0 and all(held[-1][c].iloc[-1] == b[c].iloc[0] for c in keys):
             held.append(b)
             continue
-        whole = pd.concat([*held, b.iloc[:k]], ignore_index=True) if k else pd.concat(held, ignore_index=True) if held else b.iloc[:0]
+        whole = pd.concat([*held, b.iloc[:at]], ignore_index=True)
         if len(whole):
             yield whole
-        held = [b.iloc[k:]]
+        held = [b.iloc[at:]]
     if held:
         yield pd.concat(held, ignore_index=True)
 
 
-def _blocks(pdf: pd.DataFrame, keys: list[str], ids: list[str], least: int) -> pd.DataFrame:
-    """Sorted events to blocks: repeated ids count once, and gaps up to ``least`` never separate."""
+def _blocks(pdf: pd.DataFrame, keys: list[str], least: int) -> pd.DataFrame:
+    """Sorted events to blocks: gaps up to ``least`` never separate."""
     new = _starts(pdf, keys)
     us = pdf["us"].to_numpy()
-    if ids:
-        fresh = new.copy()
-        for c in (*ids, "us"):
-            fresh[1:] |= pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1]
-        pdf, us, new = pdf[fresh], us[fresh], new[fresh]
     cut = new.copy()
     cut[1:] |= np.diff(us) > least
     at = np.flatnonzero(cut)
@@ -96,7 +113,7 @@ def _nodes(b: pd.DataFrame, keys: list[str], most: int, open_ends: bool) -> pd.D
 
     Gaps beyond ``most`` end a run. With ``open_ends`` the first and last run of each entity are not
     final: of them only the subtrees that touch neither end are nodes, and what remains, their roots
-    and the outermost blocks, is handed on as blocks with a null parent.
+    and the outermost blocks, is handed on as blocks whose parent is ``OPEN``.
     """
     start, end, n, inner, first = (b[c].to_numpy() for c in (*_BLOCK, "first"))
     gap_before = np.empty(len(b), np.int64)
@@ -125,7 +142,7 @@ def _nodes(b: pd.DataFrame, keys: list[str], most: int, open_ends: bool) -> pd.D
     root = piece[f] & np.append(piece, True)[l + 1] & np.repeat(left_open | right_open, stop - at)[f]
     total = np.concatenate([[0], np.cumsum(n)])
     out = b.iloc[f][keys].reset_index(drop=True)
-    parent = pd.Series(np.minimum(gap_before[f], gap_after[l]), dtype="Int64").mask(root)
+    parent = np.where(root, OPEN, np.minimum(gap_before[f], gap_after[l]))
     return out.assign(start_us=start[f], end_us=end[l], n_events=total[l + 1] - total[f], gap_us=g, parent=parent)[[*keys, *_BLOCK, "parent"]]
 
 
@@ -136,6 +153,9 @@ def gap_tree(events: DataFrame, entity: list[str], us: str, ids: list[str] | Non
     Events with a null entity column or instant belong to no entity and are left out. With ``ids``,
     rows that agree in entity, instant and ids are one event. Events at the same instant are in one
     session. An empty table gives no rows; other columns of ``events`` may have any name.
+
+    A task holds a piece of bounded rows, and then the blocks that an entity's chunks leave open: at
+    most ``chunk_us / least_us`` of a chunk, as blocks are further apart than ``least_us``.
     """
     ids = ids or []
     keys = [f"k{i}" for i in range(len(entity))]
@@ -147,19 +167,25 @@ def gap_tree(events: DataFrame, entity: list[str], us: str, ids: list[str] | Non
     kinds = dict(src.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_us bigint, end_us bigint, n_events bigint, gap_us bigint, parent bigint"
     order = [*keys, "chunk"]
+    columns = [*keys, "chunk", *_BLOCK, "parent"]
 
     def in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _sorted_groups(batches, order):
-            yield _nodes(_blocks(pdf, order, id_names, least_us), keys, most_us, True)
+        for pdf in _pieces(batches, [*order, "us", *id_names] if ids else []):
+            # what a chunk has decided is spread by its number, what is left meets its entity's rest
+            out = _nodes(_blocks(pdf, order, least_us), order, most_us, True)
+            yield out.assign(chunk=out["chunk"].where(out["parent"] != OPEN, -INF))[columns]
 
     def over_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _sorted_groups(batches, keys):
-            yield _nodes(pdf.assign(first=_starts(pdf, keys)), keys, most_us, False)
-
-    # blocks at the edges of chunks come with a null parent; an entity has a few for each of its chunks
-    parts = src.repartition(*order).sortWithinPartitions(*order, "us", *id_names).mapInPandas(in_chunks, schema)
-    edges = parts.filter("parent is null").repartition(*keys).sortWithinPartitions(*keys, "start_us").mapInPandas(over_chunks, schema)
-    nodes = parts.filter("parent is not null").unionByName(edges).filter(F.col("parent") > least_us)
+        for pdf in _sorted_groups(batches, order):
+            done = pdf["parent"] != OPEN
+            yield pdf[done][[*keys, *_BLOCK, "parent"]]
+            left = pdf[~done].reset_index(drop=True)
+            if len(left):
+                yield _nodes(left.assign(first=_starts(left, keys)), keys, most_us, False)
+
+    parts = src.repartition(*order).sortWithinPartitions(*order, "us", *id_names).mapInPandas(in_chunks, schema.replace(", start_us", ", chunk bigint, start_us"))
+    parts = parts.filter((F.col("parent") == OPEN) | (F.col("parent") > least_us))
+    nodes = parts.repartition(*order).sortWithinPartitions(*order, "start_us").mapInPandas(over_chunks, schema).filter(F.col("parent") > least_us)
     return nodes.select(*[F.col(k).alias(c) for c, k in zip(entity, keys, strict=True)], "start_us", "end_us", "n_events", "gap_us", F.when(F.col("parent") <= most_us, F.col("parent")).alias("parent_gap_us"))
 
 
