@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm.encode import decode, encode
 from timberline.llm.mix import mix, mix_shares
-from timberline.llm.runs import collapse_runs, masked_words, similar_runs
+from timberline.llm.runs import collapse_runs, masked_words
 from timberline.llm.terms import TermCounts, letter_runs, record_changes, term_deltas
 from timberline.llm.truncation import find_truncated, truncation_rates
 from timberline.operators.instants import resolve_instants
@@ -23,24 +23,30 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # --- 3: repeated consecutive events
 
 
+def _runs(rows: DataFrame, similarity: float, us: str | None = None, max_gap_us: int | None = None, least: int = 1) -> DataFrame:
+    found = collapse_runs(rows, ["file_path", "process"], "line_number", [F.col("event")], masked_words(F.col("message")), similarity, us, max_gap_us, least)
+    return found.withColumnsRenamed({"first": "first_line", "last": "last_line", "n": "n_events"})
+
+
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "canonical").select("file_path", "process", "line_number", "timestamp", "event", "message")
+    return resolve_instants(rows, _table(spark, d, "log_files"), "us")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Runs whose events are all like the first one, without a limit of time between them."""
     rows = _table(spark, d, "canonical").select("file_path", "process", "line_number", "event", "message")
-    runs = collapse_runs(rows, ["file_path", "process"], "line_number", [F.col("event"), masked_words(F.col("message"))])
-    return runs.filter("n >= 3").select("file_path", "process", F.col("first").alias("first_line"), F.col("last").alias("last_line"))
+    return _runs(rows, 1.0, least=3).select("file_path", "process", "first_line", "last_line")
 
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     """Every record collapsed: one row per run of any length, with count and duration."""
-    rows = _table(spark, d, "canonical").select("file_path", "process", "line_number", "timestamp", "event", "message")
-    rows = resolve_instants(rows, _table(spark, d, "log_files"), "us")
-    runs = collapse_runs(rows, ["file_path", "process"], "line_number", [F.col("event"), masked_words(F.col("message"))], "us")
-    return runs.select("file_path", "process", F.col("first").alias("first_line"), F.col("last").alias("last_line"), F.col("n").alias("n_events"), "start_us", "end_us", "duration_us")
+    return _runs(_timed(spark, d), 1.0, "us")
 
 
 def p3_similar(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "canonical").select("file_path", "process", "line_number", "timestamp", F.lower("message").alias("words"))
-    rows = resolve_instants(rows, _table(spark, d, "log_files"), "us")
-    return similar_runs(rows, ["file_path", "process"], "line_number", "words", "us").filter("n >= 2")
+    """Runs of events of which four in five words are those of the first one, at most an hour apart."""
+    return _runs(_timed(spark, d), 0.8, "us", 3_600_000_000, 2)
 
 
 # --- 4: term frequencies
