@@ -4,7 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from timberline.llm import queries
-from timberline.llm.terms import TermCounts, letter_runs, record_changes, term_deltas
+from timberline.llm.terms import TermCounts, delivery_changes, letter_runs, record_changes, term_deltas
 from timberline.session import shared_folder
 
 from ..conftest import rows
@@ -51,6 +51,23 @@ def test_changes_add_up_to_a_recount(spark):
     assert c.total() == len(after)
 
 
+def test_deliveries_change_what_they_change(spark):
+    told = [(1, 1, "aa bb", "p", False), (1, 2, "aa bb", "p", False), (1, 3, "cc", "p", False), (2, 1, "aa", None, False), (2, 2, None, None, True), (2, 3, "dd", None, False), (3, 2, "ee", "p", False), (3, 3, "ee", "p", True), (None, 1, "ff", "", False), (None, 2, "ff", "", None), (4, 1, None, None, True)]
+    df = spark.createDataFrame(told, "id bigint, at int, message string, process string, gone boolean")
+    changes = delivery_changes(df, ["id"], ["message", "process"], ["at"], "gone")
+    got = sorted(((r["at"], r["id"], r["sign"], r["message"]) for r in changes.collect()), key=repr)
+    assert got == sorted([(1, 1, 1, "aa bb"), (3, 1, 1, "cc"), (3, 1, -1, "aa bb"), (1, 2, 1, "aa"), (2, 2, -1, "aa"), (3, 2, 1, "dd"), (2, 3, 1, "ee"), (3, 3, -1, "ee"), (1, None, 1, "ff")], key=repr)
+    c = TermCounts(spark, shared_folder(spark, "t"))
+    by = term_deltas(changes, {"message": letter_runs(F.col("message"))}, {"process": F.col("process")}, F.col("sign"), ("at",)).cache()
+    for at in (1, 2, 3):
+        c = c.update(by.filter(F.col("at") == at).drop("at"))
+    assert rows(c.marked().select("field_name", "term", "occurrences", "records")) == brute([(1, "cc", "p"), (2, "dd", None), (None, "ff", "")])
+    assert c.total() == 3
+    c.expire()
+    assert c.total() == 3
+    assert TermCounts(spark, c.path, 3).read().count() == c.read().count()
+
+
 def test_empty(spark):
     c = TermCounts(spark, shared_folder(spark, "t")).update(deltas(spark.createDataFrame([], SCHEMA)))
     assert (c.marked().count(), c.total()) == (0, 0)

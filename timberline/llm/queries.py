@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.encode import decode, encode
 from timberline.llm.mix import mix, mix_shares
 from timberline.llm.runs import collapse_runs, masked_words
-from timberline.llm.terms import TermCounts, letter_runs, record_changes, term_deltas
+from timberline.llm.terms import SCHEMA, TermCounts, delivery_changes, letter_runs, record_changes, term_deltas
 from timberline.llm.truncation import find_truncated, truncation_rates
 from timberline.operators.instants import resolve_instants
 from timberline.session import shared_folder
@@ -56,13 +56,24 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(LINE)
 
 
-def _line_deltas(lines: DataFrame, sign: int = 1) -> DataFrame:
-    return term_deltas(lines, {"message": letter_runs(F.col("message"))}, {"process": F.col("process"), "event": F.col("event")}, sign)
+def _line_deltas(lines: DataFrame, sign: int | Column = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    return term_deltas(lines, {"message": letter_runs(F.col("message"))}, {"process": F.col("process"), "event": F.col("event")}, sign, by)
 
 
 def _counts(spark: SparkSession, d: str) -> TermCounts:
-    rows = _table(spark, d, "canonical").select(*LINE, "message", "process", "event")
-    return TermCounts(spark, shared_folder(spark, "term-counts")).update(_line_deltas(_lines(rows)))
+    """The counts of the lines received in the first half of the time, updated by what later deliveries change."""
+    rows = _table(spark, d, "canonical").select(*LINE, "message", "process", "event", "received_at")
+    ends = rows.agg(F.unix_micros(F.min(F.col("received_at").cast("timestamp"))).alias("a"), F.unix_micros(F.max(F.col("received_at").cast("timestamp"))).alias("b")).first()
+    half = ((ends["a"] or 0) + (ends["b"] or 0)) // 2
+    rows = rows.withColumn("delivery", F.when(F.unix_micros(F.col("received_at").cast("timestamp")) > half, 2).otherwise(1))
+    changes = delivery_changes(rows, LINE, ["message", "process", "event"], ["delivery", "received_at"])
+    at = shared_folder(spark, "term-deltas")
+    _line_deltas(changes, F.col("sign"), ("delivery",)).write.partitionBy("delivery").parquet(at)
+    counts = TermCounts(spark, shared_folder(spark, "term-counts"))
+    for delivery in (1, 2):
+        deltas = spark.read.schema(f"{SCHEMA}, delivery int").parquet(at).filter(F.col("delivery") == delivery).drop("delivery")
+        counts = counts.update(deltas)
+    return counts
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

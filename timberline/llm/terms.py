@@ -2,13 +2,15 @@
 
 Added records count +1 and removed ones -1 (a changed record is both), summed per term before any
 shuffle, and merged into a table of counts written under a path, partitioned by a hash of the term.
+Where records arrive in deliveries, each is compared with its last state only, so that a record that is
+delivered again unchanged counts for nothing.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOTAL = ""  # the field whose one row counts the records themselves
@@ -21,8 +23,28 @@ def letter_runs(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
 
 
-def term_deltas(records: DataFrame, texts: dict[str, Column], values: dict[str, Column], sign: int | Column = 1) -> DataFrame:
-    """(field_name, term, occurrences, records) of one row per record, times ``sign``.
+def delivery_changes(rows: DataFrame, key: list[str], content: list[str], order: list[str], deleted: str | None = None) -> DataFrame:
+    """What each delivery of a record changes: all columns of ``rows`` and ``sign``, +1 for the content that
+    it adds, -1 for the record's content before it.
+
+    The deliveries of a key, in which nulls are values, follow each other by ``order``. One that has the
+    content of the one before gives no row; one whose column ``deleted`` is true only takes back. A key
+    has as many rows in a task as it was delivered.
+    """
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    kept = rows.select(F.struct("*").alias("now"), gone.alias("gone"), F.struct(*content).alias("has"), *[mark(c).alias(f"k{i}") for i, c in enumerate(key)], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    keys = [f"k{i}" for i in range(len(key))]
+    last = Window.partitionBy(*keys).orderBy(*[f"o{i}" for i in range(len(order))], "has")
+    was = F.lag(F.when(~F.col("gone"), F.col("has"))).over(last)
+    steps = kept.withColumn("was", was).filter(F.col("gone") | ~F.col("has").eqNullSafe(F.col("was")))
+    signed = F.array(F.when(~F.col("gone"), F.struct(F.lit(1).alias("sign"), F.col("has").alias("has"))), F.when(F.col("was").isNotNull(), F.struct(F.lit(-1).alias("sign"), F.col("was").alias("has"))))
+    out = steps.select("now", F.explode(F.array_compact(signed)).alias("x"))
+    return out.select(*[(F.col("x.has") if c in content else F.col("now"))[c].alias(c) for c in rows.columns], F.col("x.sign").alias("sign"))
+
+
+def term_deltas(records: DataFrame, texts: dict[str, Column], values: dict[str, Column], sign: int | Column = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., field_name, term, occurrences, records) of one row per record, times ``sign``.
 
     ``texts``: by field name an array of terms (null: none); ``values``: a single value, null left out.
     An empty table gives no rows.
@@ -40,9 +62,9 @@ def term_deltas(records: DataFrame, texts: dict[str, Column], values: dict[str,
         parts += [items(f, a, one, none), items(f, F.array_distinct(a), none, one)]
     parts += [F.array(item(f, v.cast("string"), one, one)) for f, v in values.items()]
     empty = F.filter(parts[0], lambda x: F.lit(False))
-    rows = records.select((F.lit(sign) if isinstance(sign, int) else sign).cast("bigint").alias("sign"), F.explode(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("x"))
-    rows = rows.filter("x.term is not null").select("sign", "x.*")
-    sums = rows.groupBy("field_name", "term").agg(F.sum(F.col("sign") * F.col("n")).alias("occurrences"), F.sum(F.col("sign") * F.col("r")).alias("records"))
+    rows = records.select(*by, (F.lit(sign) if isinstance(sign, int) else sign).cast("bigint").alias("sign"), F.explode(F.concat(*[F.coalesce(p, empty) for p in parts])).alias("x"))
+    rows = rows.filter("x.term is not null").select(*by, "sign", "x.*")
+    sums = rows.groupBy(*by, "field_name", "term").agg(F.sum(F.col("sign") * F.col("n")).alias("occurrences"), F.sum(F.col("sign") * F.col("r")).alias("records"))
     return sums
 
 
@@ -90,6 +112,15 @@ class TermCounts:
         self.spark.createDataFrame(list(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/m{new.version}")
         return new
 
+    def expire(self) -> None:
+        """Removes what only earlier versions have; readers of those must be done."""
+        used = {f"v{v}" for v in self.parts().values()} | {f"m{self.version}"}
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(hadoop):
+            if f.getPath().getName() not in used:
+                fs.delete(f.getPath(), True)
+
     def total(self) -> int:
         """Number of records: one row of the table."""
         row = self.read().filter(F.col("field_name") == TOTAL).agg(F.sum("records")).first()
