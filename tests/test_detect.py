@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -151,3 +152,22 @@ def test_provided_and_registered_formats(spark):
         assert detect.parse_lines(frame(spark, ["x|a|b c"])).first()["process"] == "x"
     finally:
         FORMATS[:] = before
+
+
+def test_long_lines_keep_their_format(spark):
+    long = "Jun  4 01:02:03 box app[3]: went " + "x" * 70_000 + " n=12 end"
+    r = canonical(frame(spark, [long]).withColumn("_format", detect.F.lit("bsd_syslog"))).first()
+    assert detect.detected_formats(frame(spark, [long] * 3)).first()["format"] == "bsd_syslog"
+    assert (r["process"], r["pid"], r["message"]) == ("app", "3", "went " + "x" * 70_000 + " end")
+    assert [tuple(m) for m in r["metadata"]] == [("n", "12", "int")]
+
+
+def test_hostile_lines_end_in_time(spark):
+    heads = ["a b c [t] \"G x", "[t] [", "Jun  4 01:02:03 box app", "2024-01-01T00:00:00Z ", "<1>1 a b c d e [", "a=b c=", ""]
+    lines = [h + fill * (70_000 // len(fill)) + tail for h in heads for fill in (" ", "a", "[", "a ", '"', "=", "; ", "1") for tail in ("x", '" 200 x', '" 20 x', ": x", '"')]
+    started = time.time()
+    df = frame(spark, lines).repartition(4)
+    detect.format_scores(df).collect()
+    rows = df.withColumn("_format", detect.F.expr("array('bsd_syslog', 'apache_combined', 'generic_iso', 'key_value')[line_number % 4]"))
+    canonical(rows).agg(detect.F.sum(detect.F.length("message"))).collect()
+    assert time.time() - started < 90

@@ -103,7 +103,7 @@ class StampMachine:
     def longest(self, text: str, at: int = 0) -> tuple[str, int] | None:
         """Layout and end of the longest time stamp that starts at ``at``."""
         state, found, table, accepts = 0, None, self.table, self.accepts
-        for i in range(at, min(len(text), at + 48)):
+        for i in range(at, len(text)):
             c = text[i]
             nxt = table[state].get(c)
             state = self.step(state, c) if nxt is None else nxt
@@ -502,22 +502,24 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Open entries of one chunk with the headerless lines of the next ones."""
-    held: tuple | None = None  # path, first line, last line, bodies
+    """Open entries of one chunk with the headerless lines of the next ones; finished ones pass by."""
+    held: list | None = None  # path, first line, last line, bodies
 
-    def done(h: tuple) -> tuple:
+    def done(h: list) -> tuple:
         return _row(h[0], h[1], h[2], "\n".join(h[3]), 0, 0)
 
     for pdf in batches:
         out: list[tuple] = []
-        for r in pdf.itertuples(index=False):
+        for r in pdf[pdf["kind"] > 0].itertuples(index=False):
             if held is not None and (r.kind == 2 or r.file_path != held[0]):
                 out.append(done(held))
                 held = None
             if r.kind == 2:
-                held = (r.file_path, int(r.line_number), int(r.last_line), [r.body])
+                held = [r.file_path, int(r.line_number), int(r.last_line), [r.body]]
             elif held is not None:
-                held = (*held[:2], held[2] if pd.isna(r.last_line) else int(r.last_line), [*held[3], r.body])
+                held[2] = held[2] if pd.isna(r.last_line) else int(r.last_line)
+                held[3].append(r.body)
+        yield pdf[pdf["kind"] == 0]
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS).astype({"line_number": "Int64", "last_line": "Int64"})
     if held is not None:
@@ -530,13 +532,15 @@ def entries_of_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ``lines`` has file_path, line_number and line, in any order; other columns are ignored. Lines
     delivered again count once; a null line is a blank one; rows without a file or line number, and
     lines before a file's first entry, belong to no entry. ``level`` is '' and other fields null where
-    the layout has none. A message holds its continuation lines, without blank lines at its end.
+    the layout has none. A message holds its continuation lines, without blank lines at its end. A task
+    holds one entry at a time, as its row does.
     """
     src = lines.select("file_path", F.col("line_number").cast("bigint").alias("line_number"), "line").dropna(subset=["file_path", "line_number"])
     src = src.withColumn("chunk", F.floor(F.col("line_number") / chunk).cast("bigint"))
     parts = src.repartition("file_path", "chunk").sortWithinPartitions("file_path", "chunk", "line_number").mapInPandas(_chunks, _SCHEMA)
-    edges = parts.filter("kind > 0").repartition("file_path").sortWithinPartitions("file_path", "chunk", "kind").mapInPandas(_merge, _SCHEMA)
-    return parts.filter("kind = 0").unionByName(edges).drop("chunk", "kind", "body")
+    # what chunks leave open meets by file, what is finished is spread by chunk, so the lines are scanned once
+    meet = F.when(F.col("kind") > 0, -1).otherwise(F.col("chunk"))
+    return parts.repartition("file_path", meet).sortWithinPartitions("file_path", "chunk", "kind").mapInPandas(_merge, _SCHEMA).drop("chunk", "kind", "body")
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

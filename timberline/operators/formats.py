@@ -13,7 +13,6 @@ from timberline.functions.text import META_TYPE, captures, fold, no_pairs, pair,
 from timberline.functions.vocab import FIELD_OF, priority_severity, severity
 
 CANONICAL = ("timestamp", "hostname", "process", "component", "pid", "message")
-LONGEST = 65_536  # characters; longer lines are not tried against the formats
 
 
 @dataclass(frozen=True)
@@ -37,7 +36,7 @@ _HEAD = "(?d)(?U)^"
 KEY = r"[a-zA-Z_][a-zA-Z0-9_\-.]*"
 _VALUE = r"(?:\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^\s)\]]*+)"
 
-# fixed values: the line formats, in the order of detection
+# fixed values: the line formats, in the order of detection; a lookahead or a possessive quantifier only saves retries
 FORMATS: list[LineFormat] = [
     LineFormat("bsd_syslog", _HEAD + r"([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+" + _TAG, _SYSLOG, 10),
     LineFormat(
@@ -45,7 +44,7 @@ FORMATS: list[LineFormat] = [
         ("priority", "version", "timestamp", "host", "app", "procid", "msgid", "structured_data", "message"), 15, {"app": "process"}, "priority", ("structured_data", "message"),
     ),
     LineFormat(
-        "apache_combined", _HEAD + r"(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+\"(\S+)\s+(\S+)\s+([^\"]+)\"\s+(\d{3})\s+(\S+)(\s+\"([^\"]*)\")?\s*(\"([^\"]*)\")?.*$",
+        "apache_combined", _HEAD + r"(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+\"(\S+)\s+(\S+)(?=\s[^\"]*+\"\s++\d{3}\s++\S)\s+([^\"]+)\"\s+(\d{3})\s+(\S+)(\s+\"([^\"]*)\")?\s*(\"([^\"]*)\")?.*$",
         ("remote_host", "ident", "user", "timestamp", "method", "path", "protocol", "status", "bytes", "", "referrer", "", "user_agent"), 12, {"remote_host": "host"}, None, ("referrer", "user_agent"),
     ),
     LineFormat(
@@ -94,7 +93,7 @@ def fits(line: Column, fmt: LineFormat) -> Column:
     test = line.rlike(fmt.pattern)
     if fmt.needs:
         test = (F.length(line) - F.length(F.replace(line, F.lit(fmt.needs), F.lit(""))) >= 2) & test
-    return (F.length(line) <= LONGEST) & test
+    return test
 
 
 def sniff(line: Column) -> tuple[Column, Column]:
@@ -175,7 +174,7 @@ def canonical(lines: DataFrame) -> DataFrame:
     df = staged(df, {"pid": F.coalesce(digits, F.col("pid")), "_text": F.when(F.coalesce(F.col("message"), F.lit("")) != "", F.col("message")).otherwise(F.array_join(F.transform("metadata", lambda x: F.concat(x["key"], F.lit("="), x["value"])), " "))})
     known = F.col("_format").isin([f.name for f in FORMATS])
     df = staged(df, {"_kv": F.when(known & F.col("_text").contains("="), found_pairs(F.col("_text"), True)).otherwise(no_pairs())})
-    lifted = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("_text"), PAIRS, ""), r"^[ ;:,]+|[ ;:,]+$", ""), r"(?U)\s+", " ")
+    lifted = F.regexp_replace(F.trim(F.regexp_replace(F.col("_text"), PAIRS, ""), F.lit(" ;:,")), r"(?U)\s+", " ")
     text = F.when(F.size("_kv") > 0, strip(lifted)).otherwise(F.col("_text"))
     df = staged(df, {"message": F.when(known, text).otherwise(F.col("message")), "metadata": F.when(F.size("_kv") > 0, fold(F.col("_kv"), F.col("metadata"))).otherwise(F.col("metadata"))})
     df = _json_rows(df)

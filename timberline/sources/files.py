@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,20 +40,22 @@ def _metadata(json: Column) -> Column:
 
 
 def read_records(spark: SparkSession, path: str, need_message: bool = False) -> DataFrame:
-    """Records from JSON lines, a JSON array, or an envelope {"logs": [...]}, found out by their beginning.
+    """Records from JSON lines, a JSON array, or an envelope {"logs": [...]}; each file's beginning says which.
 
     Blank and malformed lines and the ``_metadata`` line of a parser's output are dropped; with
-    ``need_message`` rows without a message, too. Metadata comes as ordered pairs.
+    ``need_message`` rows without a message, too. Metadata comes as ordered pairs. Files that are one
+    JSON document each are listed on the driver.
     """
-    head = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 200).alias("v")).limit(2).collect()
-    first = head[0]["v"] if head else ""
-    whole = first.startswith("[") or first.rstrip() == "{" or ('"logs"' in first and len(head) < 2)
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), F.substring(F.ltrim("value"), 1, 200).alias("v")).filter("v <> ''")
+    first = text.groupBy("f").agg(F.min_by("v", "at").alias("v"), F.count("*").alias("n"))
+    whole = [r["f"] for r in first.filter(F.col("v").startswith("[") | (F.rtrim("v") == "{") | (F.col("v").contains('"logs"') & (F.col("n") == 1))).select("f").collect()]
+    lines = read_lines(spark, path).select("file_path", F.col("line_number").alias("at"), F.trim("line").alias("j"))
+    rows = lines
     if whole:
-        texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.trim("value").alias("v"))
+        texts = spark.read.text([unquote(f) for f in whole], wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.trim("value").alias("v"))
         items = F.when(F.substring("v", 1, 1) == "[", F.from_json("v", "array<string>")).otherwise(F.from_json(F.get_json_object("v", "$.logs"), "array<string>"))
-        rows = texts.select("file_path", F.posexplode(items).alias("at", "j"))
-    else:
-        rows = read_lines(spark, path).select("file_path", F.col("line_number").alias("at"), F.trim("line").alias("j"))
+        listed = spark.createDataFrame([(f,) for f in whole], "_f string")
+        rows = lines.join(listed, F.col("file_path") == F.col("_f"), "left_anti").unionByName(texts.select("file_path", F.posexplode(items).alias("at", "j")))
     rows = rows.filter(F.col("j").startswith("{") & F.try_parse_json("j").isNotNull())
     plain = RECORD.replace(f"metadata {META_TYPE}", "metadata string")
     got = rows.select("file_path", "at", F.get_json_object("j", "$._metadata").alias("_m"), F.from_json("j", plain).alias("r")).filter("_m is null")
