@@ -120,12 +120,6 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(p7_mix(spark, d), _table(spark, d, "mix_targets"))
 
 
-def p7_shares_reached(spark: SparkSession, d: str) -> DataFrame:
-    """The shares at the largest total that lets every source with documents reach its own."""
-    targets = _table(spark, d, "mix_targets")
-    return mix_shares(mix(_table(spark, d, "documents"), targets, "reachable"), targets)
-
-
 # --- 8: texts cut off
 
 
@@ -137,7 +131,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(find_truncated(_table(spark, d, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts, "p4_updated": p4_updated, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_reached": p7_shares_reached, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p3_similar": p3_similar, "p4_found": p4_found, "p4_counts": p4_counts, "p4_updated": p4_updated, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 
 ORACLE = {
     "p3_found": """
