@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from timberline.llm import truncation as m
@@ -95,12 +96,14 @@ def test_contexts_are_counted_exactly(spark):
     texts = ["".join(r.choices(letters, k=20_000)).strip() for _ in range(100)]
     df = spark.createDataFrame([(i, t, "a", "en", None, "t", 1) for i, t in enumerate(texts)], SCHEMA)
     every = b"\0".join(folded(t) for t in texts)
-    rows = m.end_scores(df).filter("matched <= 4").collect()
-    assert len(rows) > 90
-    for x in rows:
-        end = folded(texts[x["doc"]])[-x["matched"] :]
-        after = [a for a in re.findall(b"(?=" + re.escape(end) + b"(.))", every, re.S) if a != b"\0"]
-        assert (x["t"], x["stops"]) == (len(after), after.count(b"\n")), end
+    checked = 0
+    for x in m.end_scores(df).collect():
+        for order, e, t, stops in ((m.ORDERS[o["k"]], o["e"], o["t"], o["stops"]) for o in x["orders"]):
+            end = folded(texts[x["doc"]])[-order:]
+            after = [a for a in re.findall(b"(?=" + re.escape(end) + b"(.))", every, re.S) if a != b"\0"]
+            assert (e, t, stops) == (sum(folded(y).endswith(end) for y in texts), len(after), after.count(b"\n")), end
+            checked += 1
+    assert checked >= 400
 
 
 def test_contexts_across_pieces_and_of_all_orders(spark):
@@ -113,12 +116,31 @@ def test_contexts_across_pieces_and_of_all_orders(spark):
     texts = [long + "q", *(f"{i}. {'wxyz'[i % 4]} the very last end here" for i in range(14)), "€", "Xb", "a" * 40]
     df = spark.createDataFrame([(i, t, "a", "en", None, "t", 1) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
     every = b"\0".join(folded(t) for t in texts)
-    rows = m.end_scores(df).filter("t is not null").collect()  # nothing else has the end of "€"
-    assert {1, 16} <= {x["matched"] for x in rows}
+    rows = m.end_scores(df).collect()
+    assert {1, 16} <= {m.ORDERS[o["k"]] for x in rows for o in x["orders"]}
     for x in rows:
-        end = folded(texts[x["doc"]])[-x["matched"] :]
-        after = [a for a in re.findall(b"(?=" + re.escape(end) + b"(.))", every, re.S) if a != b"\0"]
-        assert (x["t"], x["stops"]) == (len(after), after.count(b"\n")), (x["doc"], x["matched"])
+        for o in x["orders"]:
+            end = folded(texts[x["doc"]])[-m.ORDERS[o["k"]] :]
+            after = [a for a in re.findall(b"(?=" + re.escape(end) + b"(.))", every, re.S) if a != b"\0"]
+            assert (o["t"], o["stops"]) == (len(after), after.count(b"\n")), (x["doc"], end)
+
+
+def test_weights_tell_cuts_from_ends():
+    r = np.random.default_rng(1)
+    cut = np.repeat([0.0, 1.0], [3000, 300])
+    x = np.column_stack([np.ones(3300), r.normal(3 - 6 * cut, 1.5), r.normal(2 - 5 * cut, 1.5)])
+    noisy = cut.copy()
+    noisy[3000:3030] = 0  # cut, but with all cells
+    w = m.weights(x, noisy, np.array(m.WEIGHTS), np.full(3, 0.01))
+    assert ((x @ w > 0) == cut).mean() > 0.99
+    assert np.allclose(m.weights(x[:0], cut[:0], np.array(m.WEIGHTS), np.full(3, 0.01)), m.WEIGHTS)
+
+
+def test_several_field_limits(spark):
+    data = [(i, "a", "x", i, "en", n, n + 5) for i, n in enumerate([100] * 6 + [70] * 5 + list(range(200, 300)))]
+    df = spark.createDataFrame([(d, s, c, n, b) for d, s, _, c, _, n, b in data], "doc int, source string, copy int, n_chars int, n_bytes int")
+    got = m.field_limits(df).first()["limits"]
+    assert {(x["unit"], x["most"]) for x in got} == {("chars", 100), ("chars", 70), ("bytes", 105), ("bytes", 75)}
 
 
 def test_stop_inside_code_is_no_sentence_end(spark):

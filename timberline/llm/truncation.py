@@ -1,11 +1,13 @@
 """Texts that were cut off, and how often each source cuts.
 
 A backward character n-gram model is counted over the whole corpus: for the last characters of a text,
-how often texts end there and how often they go on, at every position of every text of its source. A
-whole text ends where texts end; a cut falls anywhere, in proportion to how often its context occurs.
-The log-odds of the two, at the longest context with enough support, is the score; its threshold comes
-from each source's and language's own rate of cuts among the texts of which it is known. Layouts that say how they
-end, and a recorded number of cells, are checked exactly in its place.
+how often texts of its source end there, how often lines do, and how often the text goes on, at every
+position. Two probabilities, of a text's and of a line's end after these characters, are interpolated
+from the shortest context to the longest, each order with those below it as its prior. Their logs are
+weighed into the log-odds of a cut against an end, with weights of each source and a threshold of each
+language in it, fitted to the texts of which it is known: layouts that say how they end, and texts with a
+recorded number of cells. A text is found only if its score proposes it; then what its layout and its
+cells prove can refute it, or save it the need of a clear score.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +26,12 @@ from timberline.session import shared_folder
 
 LOW, HIGH = (1, 2, 3, 4), (6, 8, 12, 16)
 ORDERS = LOW + HIGH
-UNSEEN = 0.5  # what an end that nothing else has counts for
-PRIOR_RATE = 5e-5  # cuts per position where nothing is known
-CLEAR = 2.0  # log-odds of a cut beyond which a stop at the end proves nothing
-SUPPORT = 12  # occurrences that a context needs to be judged by
+PRIOR = 30.0  # occurrences that the lower orders count for
+PROPOSED = -5.0  # log-odds of a cut that a text needs to be looked at
+CLEAR = 2.0  # log-odds of a cut beyond which a stop after a letter proves nothing
+SAMPLE = 20_000  # labelled texts that the weights are fitted to, in all and of each source
+WEIGHTS = (-2.0, -1.0, -0.8)  # where no text is labelled: of a cut at even odds, of the end of texts, of lines
+HELD_TO = (0.4, 4.0, 4.0)  # how strongly a source's weights are held to those of all
 BITS = 22  # log2 of the size of the filter of end contexts: 512 KB, whatever the corpus
 PART = 1 << 16
 HELD = 1 << 21  # positions of a source whose low orders are counted at once
@@ -257,7 +262,9 @@ def closed(text: Column, kind: Column) -> Column:
     """Whether the end is the layout's own closing; null where a layout has none."""
     # an object that is whole ends with a brace in the first column, or has as many closing as opening ones
     whole = text.endswith("}") & (text.endswith("\n}") | (_count(text, "{") == _count(text, "}")))
-    return F.when(kind == "json", whole).when(kind == "tag", F.expr("right(plain, 200)").rlike(r"</notebook>\s*(?:<!--[^<]*-->)?$"))
+    after = F.substring_index(text, "</notebook>", -1)
+    ended = text.contains("</notebook>") & after.rlike(r"^\s*(?:<!--[^<]*-->)?$")
+    return F.when(kind == "json", whole).when(kind == "tag", ended)
 
 
 def _features(df: DataFrame, doc: str, text: str, source: str, lang: str, n_cells: str | None) -> DataFrame:
@@ -282,6 +289,7 @@ def _features(df: DataFrame, doc: str, text: str, source: str, lang: str, n_cell
         F.expr("xxhash64(right(plain, 200))").alias("copy"),
         ((word != "") & again).alias("word_again"),
         F.expr("right(plain, 1)").isin(*".!?。！？").alias("stopped"),
+        F.expr("right(plain, 2)").rlike(r"^\p{L}").alias("after_letter"),
         (F.col("n_cells") - cells(F.col("plain"), kind)).alias("missing"),
         closed(F.col("plain"), kind).alias("closed"),
         (_count(F.col("plain"), "\n") + 1).alias("lines"),
@@ -289,8 +297,10 @@ def _features(df: DataFrame, doc: str, text: str, source: str, lang: str, n_cell
 
 
 def end_scores(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_cells: str | None = "n_cells") -> DataFrame:
-    """One row per text that has a non-blank character: its features, and ``log_odds`` of a cut against
-    an end, from the longest context with support (``matched`` characters)."""
+    """One row per text that has a non-blank character: its features; ``orders``, of each order that is
+    counted the texts that end so (copies as one, itself among them), the positions that go on and those
+    of them at a line's end; ``text_end`` and ``line_end``, the log of how much likelier an end is there
+    than anywhere in the source."""
     spark = df.sparkSession
     shared_folder(spark, "ends")
     feats = _features(df, doc, text, source, lang, n_cells).checkpoint()
@@ -309,59 +319,125 @@ def end_scores(df: DataFrame, doc: str = "doc_id", text: str = "text", source: s
     shared = spark.sparkContext.broadcast(bytes(bits))
     texts = df.filter(F.col(text).rlike(r"\S")).select(F.coalesce(F.col(source), F.lit("")).alias("source"), plain(F.col(text)).cast("binary").alias("text"))
     seen = texts.mapInArrow(_occurrences(shared), "h bigint, t bigint, stops bigint").groupBy("h").agg(F.sum("t").alias("t"), F.sum("stops").alias("stops"))
-    known = n_ends.join(seen, "h").select("h", "e", "t", "stops")
-    best = ends.join(known, "h").filter((F.col("t") >= SUPPORT) | (F.col("k") == 0)).groupBy("doc").agg(F.max(F.struct("k", "e", "t", "stops")).alias("x")).select("doc", "x.*")
-    # cuts per position, by language and source, from the texts of which it is known
-    proven = (F.col("missing") > 0) | ~F.col("closed")
-    told = F.col("missing").isNotNull() | F.col("closed").isNotNull()
-    size = feats.groupBy("source", "lang").agg(F.sum(F.when(told, F.col("n_chars"))).alias("chars"), F.count_if(proven).alias("cuts"), F.count("*").alias("docs"), F.sum("lines").alias("all_lines"))
-    rows = feats.join(best, "doc", "left").join(size, ["source", "lang"])
-    rate = (F.col("cuts") + 0.5) / (F.coalesce("chars", F.lit(0)) + 0.5 / PRIOR_RATE)
-    # a line end is the end of a text as often as there are texts to lines; other texts that end alike count as one
-    share = F.col("docs") / F.col("all_lines")
-    odds = rate * F.col("t") / (share * (F.col("stops") + F.col("e") - 1 + UNSEEN))
-    orders = F.array(*[F.lit(k) for k in ORDERS])
-    return rows.select("doc", "source", "lang", "word_again", "stopped", "copy", "missing", "closed", "ellipsis", "n_chars", "n_bytes", F.element_at(orders, F.col("k") + 1).alias("matched"), "e", "t", "stops", F.log(odds).alias("log_odds"))
-
-
-def field_limits(scores: DataFrame, share: float = 0.03, least: int = 4) -> DataFrame:
-    """(source, unit, most): the length, in characters or bytes, at which a source's texts pile up.
-
-    It is the most frequent length of different texts, if at least ``share`` of the source's texts have it.
+    known = n_ends.join(seen, "h", "left").select("h", "e", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("stops", F.lit(0)).alias("stops"))
+    counts = ends.join(known, "h").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("k", "e", "t", "stops"))).alias("orders"))
+    sizes = feats.groupBy("source").agg(F.sum("n_chars").cast("double").alias("chars"), F.count("*").alias("docs"), F.sum("lines").alias("all_lines"))
+    rows = feats.join(counts, "doc", "left").join(sizes, "source")
+    text_rate, line_rate = F.col("docs") / F.col("chars"), F.col("all_lines") / F.col("chars")
+
+    def longer(p: Column, x: Column) -> Column:
+        n = x["t"] + x["e"] - 1
+        return F.struct(((x["e"] - 1 + PRIOR * p["text"]) / (n + PRIOR)).alias("text"), ((x["stops"] + PRIOR * p["line"]) / (x["t"] + PRIOR)).alias("line"))
+
+    start = F.struct(text_rate.alias("text"), line_rate.alias("line"))
+    ends_at = F.when(F.col("orders").isNull(), start).otherwise(F.aggregate("orders", start, longer))
+    rows = staged(rows.withColumns({"text_rate": text_rate, "line_rate": line_rate}), {"p": ends_at})
+    features = ("doc", "source", "lang", "word_again", "stopped", "after_letter", "copy", "missing", "closed", "ellipsis", "n_chars", "n_bytes")
+    return rows.select(*features, "orders", F.log(F.col("p.text") / F.col("text_rate")).alias("text_end"), F.log(F.col("p.line") / F.col("line_rate")).alias("line_end"))
+
+
+# --- weights
+
+
+def fitted(x: np.ndarray, cut: np.ndarray, prior: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Logistic weights of columns ``x``, the first of which is 1, held to a prior."""
+    w = prior.copy()
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(held), x.T @ (q - cut) + held * (w - prior))
+        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def weights(x: np.ndarray, cut: np.ndarray, prior: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Fitted once more without the texts that have all their cells and yet look cut, as the last cell may be."""
+    w = fitted(x, cut, prior, held)
+    for _ in range(3):
+        clean = cut.astype(bool) | (x @ w <= 0)
+        w = fitted(x[clean], cut[clean], prior, held)
+    return w
+
+
+def _with_ones(pdf: pd.DataFrame) -> np.ndarray:
+    return np.column_stack([np.ones(len(pdf)), pdf["text_end"], pdf["line_end"]])
+
+
+def _of_source(everywhere: np.ndarray):
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, cut = _with_ones(pdf), pdf["cut"].to_numpy(float)
+        w = weights(x, cut, everywhere, np.array(HELD_TO))
+        shift = {}
+        for lang, at in pdf.groupby("lang").indices.items():
+            z = x[at] @ w
+            clean = cut[at].astype(bool) | (z <= 0)
+            b = fitted(np.column_stack([np.ones(clean.sum()), z[clean]]), cut[at][clean], np.array([0.0, 1.0]), np.array([HELD_TO[1], 1e6]))
+            shift[lang] = float(b[0])
+        return pd.DataFrame({"of": [key[0]], "w": [w.tolist()], "langs": [list(shift)], "shifts": [list(shift.values())]})
+
+    return fit
+
+
+def log_odds(scores: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``scores`` with ``log_odds``: the ends weighed by their source and language.
+
+    The weights are fitted to about ``sample`` texts of which it is known whether they were cut, or all if
+    there are fewer: on the driver for the corpus, in a task for each source, held to the corpus's.
+    """
+    proven = (F.coalesce("missing", F.lit(0)) > 0) | ~F.coalesce("closed", F.lit(True))
+    told = scores.filter("missing is not null or closed is not null").select("doc", "source", "lang", "text_end", "line_end", proven.cast("int").alias("cut"))
+    draw = F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) / float(1 << 20)
+    n = told.count()
+    some = told.filter(draw <= sample / max(n, 1)).select("text_end", "line_end", "cut").toPandas()  # about sample rows
+    all_over = weights(_with_ones(some), some["cut"].to_numpy(float), np.array(WEIGHTS), np.full(3, 0.01))
+    per = told.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "_s")
+    fits = told.join(per, F.col("source") == F.col("_s")).filter(draw <= F.lit(sample) / F.col("n")).select("source", "lang", "text_end", "line_end", "cut")
+    fits = fits.groupBy("source").applyInPandas(_of_source(all_over), "of string, w array<double>, langs array<string>, shifts array<double>")
+    rows = scores.join(fits, F.col("source") == F.col("of"), "left")
+    w = F.coalesce(F.col("w"), F.array(*[F.lit(float(v)) for v in all_over]))
+    shift = F.coalesce(F.try_element_at(F.map_from_arrays("langs", "shifts"), F.col("lang")), F.lit(0.0))
+    z = w[0] + w[1] * F.col("text_end") + w[2] * F.col("line_end") + shift
+    return rows.withColumn("log_odds", z).drop("of", "w", "langs", "shifts")
+
+
+def field_limits(scores: DataFrame, share: float = 0.01, least: int = 4) -> DataFrame:
+    """(source, limits): the lengths, each with its unit, characters or bytes, at which a source's texts pile up.
+
+    They are the lengths that at least ``share`` of a source's texts have, and ``least`` different ones.
     """
     both = scores.select("source", "copy", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("n")))).alias("x"))
     piles = both.groupBy("source", "x.unit", "x.n", "copy").count().groupBy("source", "unit", "n").agg(F.count("*").alias("texts"))
     docs = scores.groupBy("source").agg(F.count("*").alias("docs"))
-    top = piles.groupBy("source").agg(F.max(F.struct("texts", F.col("unit"), "n")).alias("x")).select("source", "x.*")
-    return top.join(docs, "source").filter((F.col("texts") >= least) & (F.col("texts") >= share * F.col("docs"))).select("source", "unit", F.col("n").alias("most"))
+    high = piles.join(docs, "source").filter((F.col("texts") >= least) & (F.col("texts") >= share * F.col("docs")))
+    return high.groupBy("source").agg(F.collect_list(F.struct("unit", F.col("n").alias("most"))).alias("limits"))  # at most 2 / share
 
 
-def find_truncated(df: DataFrame, threshold: float = -2.0, **columns: str) -> DataFrame:
+def find_truncated(df: DataFrame, proposed: float = PROPOSED, **columns: str) -> DataFrame:
     """(doc, source, lang, log_odds, cut) of every text that has a non-blank character.
 
-    An exact check decides where there is one, whatever the score; the score decides the rest. The checks
-    are: a layout's own closing; the number of cells recorded before the text was stored, more of which than are there prove a cut, and fewer the
-    opposite; a field limit that the text fills without stopping at a sentence's end. A text that stops
-    with a sentence, or whose last word is one that it has before, needs no further proof of being whole
-    unless the score is clear. Null, empty and blank texts aren't listed. Rows with a null id are left out;
-    repeated ids must be of equal texts. An empty table gives no rows.
+    The score proposes: no text below ``proposed`` is cut. Of those proposed, a layout's own closing, or
+    as many cells as were recorded and more, refute; a missing closing and missing cells confirm, and so
+    does a field limit that the text fills without stopping at a sentence's end. Where nothing is known,
+    the score must be above 0, and above ``CLEAR`` for a text that stops like a sentence after a letter;
+    a stop after anything else, such as a number, and a last word that the text has before, refute it.
+    Null, empty and blank texts aren't listed. Rows with a null id are left out; repeated ids must be of
+    equal texts. An empty table gives no rows.
     """
     scores = end_scores(df, **columns).checkpoint()
-    limits = field_limits(scores)
-    rows = scores.join(limits, "source", "left")
-    full = F.when(F.col("unit") == "chars", F.col("n_chars").between(F.col("most") - 1, F.col("most"))).otherwise(F.col("n_bytes").between(F.col("most") - 3, F.col("most")))
-    full = F.coalesce(full, F.lit(False))
-    odds = F.coalesce("log_odds", F.lit(0.0))
-    # a stop inside code or a number is no sentence's end; there, texts go on so often that the score is clear
-    scored = (odds > threshold) & ~(F.col("stopped") & (odds < CLEAR)) & ~(F.col("word_again") & (odds < 0.5))
-    cut = (
+    rows = log_odds(scores).join(field_limits(scores), "source", "left")
+    fills = F.exists("limits", lambda x: F.when(x["unit"] == "chars", F.col("n_chars").between(x["most"] - 1, x["most"])).otherwise(F.col("n_bytes").between(x["most"] - 3, x["most"])))
+    full = F.coalesce(fills, F.lit(False))
+    odds = F.col("log_odds")
+    scored = (odds > 0) & ~F.col("word_again") & (~F.col("stopped") | (F.col("after_letter") & (odds > CLEAR)))
+    found = (
         F.when(F.col("missing") > 0, True)
         .when(F.col("closed").isNotNull(), ~F.col("closed"))
         .when(F.col("missing") < 0, False)
         .when(full, F.col("ellipsis") | ~F.col("stopped"))
-        .otherwise(scored | (F.col("ellipsis") & (odds > threshold)))
+        .otherwise(scored | (F.col("ellipsis") & (odds > 0)))
     )
-    return rows.select("doc", "source", "lang", "log_odds", cut.alias("cut"))
+    return rows.select("doc", "source", "lang", "log_odds", ((odds > proposed) & found).alias("cut"))
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:
