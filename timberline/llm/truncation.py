@@ -28,6 +28,7 @@ LOW, HIGH = (1, 2, 3, 4), (6, 8, 12, 16)
 ORDERS = LOW + HIGH
 PRIOR = 30.0  # occurrences that the lower orders count for
 PROPOSED = -5.0  # log-odds of a cut that a text needs to be looked at
+SUREST = -8.0  # log-odds below which the model isn't believed: a cut can fall just where texts end
 CLEAR = 2.0  # log-odds of a cut beyond which a stop after a letter proves nothing
 SAMPLE = 20_000  # labelled texts that the weights are fitted to, in all and of each source
 WEIGHTS = (-2.0, -1.0, -0.8)  # where no text is labelled: of a cut at even odds, of the end of texts, of lines
@@ -342,11 +343,22 @@ def end_scores(df: DataFrame, doc: str = "doc_id", text: str = "text", source: s
 def fitted(x: np.ndarray, cut: np.ndarray, prior: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Logistic weights of columns ``x``, the first of which is 1, held to a prior."""
     w = prior.copy()
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(held), x.T @ (q - cut) + held * (w - prior))
-        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.logaddexp(0, z).sum() - cut @ z + held @ (v - prior) ** 2 / 2)
+
+    now = loss(w)
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (q - cut) + held * (w - prior)
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(held), slope)
+        size = 1.0
+        while loss(w - size * step) > now - 1e-4 * size * (slope @ step) and size > 1e-10:
+            size /= 2
+        w = w - size * step
+        last, now = now, loss(w)
+        if last - now < 1e-9 * (1 + abs(now)):
             break
     return w
 
@@ -402,21 +414,23 @@ def log_odds(scores: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def field_limits(scores: DataFrame, share: float = 0.01, least: int = 4) -> DataFrame:
-    """(source, limits): the lengths, each with its unit, characters or bytes, at which a source's texts pile up.
+    """(source, limits): the lengths, each with its unit, characters or bytes, at which a source's texts pile
+    up, and the log of how many more texts have it than if lengths were spread evenly.
 
     They are the lengths that at least ``share`` of a source's texts have, and ``least`` different ones.
     """
-    both = scores.select("source", "copy", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("n")))).alias("x"))
-    piles = both.groupBy("source", "x.unit", "x.n", "copy").count().groupBy("source", "unit", "n").agg(F.count("*").alias("texts"))
-    docs = scores.groupBy("source").agg(F.count("*").alias("docs"))
-    high = piles.join(docs, "source").filter((F.col("texts") >= least) & (F.col("texts") >= share * F.col("docs")))
-    return high.groupBy("source").agg(F.collect_list(F.struct("unit", F.col("n").alias("most"))).alias("limits"))  # at most 2 / share
+    both = scores.select("source", "copy", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("n")))).alias("x")).select("source", "copy", "x.*")
+    piles = both.groupBy("source", "unit", "n", "copy").count().groupBy("source", "unit", "n").agg(F.count("*").alias("texts"))
+    every = both.groupBy("source", "unit").agg(F.count("*").alias("docs"), (F.max("n") - F.min("n") + 1).alias("span"))
+    high = piles.join(every, ["source", "unit"]).filter((F.col("texts") >= least) & (F.col("texts") >= share * F.col("docs")))
+    return high.groupBy("source").agg(F.collect_list(F.struct("unit", F.col("n").alias("most"), F.log(F.col("texts") * F.col("span") / F.col("docs")).alias("odds"))).alias("limits"))  # at most 2 / share
 
 
 def find_truncated(df: DataFrame, proposed: float = PROPOSED, **columns: str) -> DataFrame:
     """(doc, source, lang, log_odds, cut) of every text that has a non-blank character.
 
-    The score proposes: no text below ``proposed`` is cut. Of those proposed, a layout's own closing, or
+    The score proposes: no text below ``proposed`` is cut, where a text as long as a field limit of its
+    source has the log-odds of that, too. Of those proposed, a layout's own closing, or
     as many cells as were recorded and more, refute; a missing closing and missing cells confirm, and so
     does a field limit that the text fills without stopping at a sentence's end. Where nothing is known,
     the score must be above 0, and above ``CLEAR`` for a text that stops like a sentence after a letter;
@@ -426,9 +440,9 @@ def find_truncated(df: DataFrame, proposed: float = PROPOSED, **columns: str) ->
     """
     scores = end_scores(df, **columns).checkpoint()
     rows = log_odds(scores).join(field_limits(scores), "source", "left")
-    fills = F.exists("limits", lambda x: F.when(x["unit"] == "chars", F.col("n_chars").between(x["most"] - 1, x["most"])).otherwise(F.col("n_bytes").between(x["most"] - 3, x["most"])))
-    full = F.coalesce(fills, F.lit(False))
-    odds = F.col("log_odds")
+    fills = F.filter("limits", lambda x: F.when(x["unit"] == "chars", F.col("n_chars").between(x["most"] - 1, x["most"])).otherwise(F.col("n_bytes").between(x["most"] - 3, x["most"])))
+    rows = staged(rows, {"at_limit": F.array_max(F.transform(fills, lambda x: x["odds"]))})
+    full, odds = F.col("at_limit").isNotNull(), F.col("log_odds")
     scored = (odds > 0) & ~F.col("word_again") & (~F.col("stopped") | (F.col("after_letter") & (odds > CLEAR)))
     found = (
         F.when(F.col("missing") > 0, True)
@@ -437,7 +451,7 @@ def find_truncated(df: DataFrame, proposed: float = PROPOSED, **columns: str) ->
         .when(full, F.col("ellipsis") | ~F.col("stopped"))
         .otherwise(scored | (F.col("ellipsis") & (odds > 0)))
     )
-    return rows.select("doc", "source", "lang", "log_odds", ((odds > proposed) & found).alias("cut"))
+    return rows.select("doc", "source", "lang", "log_odds", ((F.greatest(odds, F.lit(SUREST)) + F.coalesce("at_limit", F.lit(0.0)) > proposed) & found).alias("cut"))
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:
