@@ -1,5 +1,6 @@
 from timberline.operators import pseudonyms, syslog
 from timberline.session import shared_folder
+from timberline.sources import files
 from timberline.streaming import logs
 
 from .conftest import rows
@@ -35,11 +36,34 @@ def test_event_windows_and_sessions(spark, tmp_path):
     assert sorted(r["n_events"] for r in got) == [2, 3]
 
 
+def test_numbered_micro_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.log").write_bytes("\n".join(lines(0, 30)).encode() + b"\n\nbad \xff byte\n")
+    seen = []
+    q = logs.stream_lines(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda df, i: seen.extend(logs.numbered(df).collect())).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert rows(spark.createDataFrame(seen)) == rows(files.read_lines(spark, str(tmp_path / "in")))
+
+
 def test_growing_dictionary(spark):
-    every = spark.createDataFrame([("f", n, x) for n, x in enumerate(lines(0, 40), 1)], "file_path string, line_number bigint, line string")
+    said = [*lines(0, 40), *(f"Jun  4 01:03:00 box sudo[1]: USER=root ; COMMAND=/bin/x for user {u} at 10.0.0.{i}" for i, u in enumerate(("u3", "carol", "dave", "carol")))]
+    every = spark.createDataFrame([("f", n, x) for n, x in enumerate(said, 1)], "file_path string, line_number bigint, line string")
     records = syslog.parse_syslog(every)
-    d = logs.StreamingDictionary(spark, shared_folder(spark, "dict"))
-    parts = [d.batch(records.filter("line_number <= 15")), d.batch(records.filter("line_number > 15"))]
-    assert rows(d.tokens().drop("ordinal")) == rows(pseudonyms.dictionary(records).drop("ordinal"))
+    path = shared_folder(spark, "dict")
+    parts = []
+    for i, cut in enumerate(("line_number <= 15", "line_number between 16 and 41", "line_number > 41")):
+        d = logs.StreamingDictionary(spark, path)  # as after a restart
+        parts.append(d.batch(records.filter(cut), i))
+    d.batch(records.filter("line_number > 41"), 2)
+    assert d.version() == 2
+    assert rows(d.tokens()) == rows(pseudonyms.dictionary(records))
     got = sorted(r["masked_log"] for p in parts for r in p.collect())
     assert got == sorted(r["masked_log"] for r in pseudonyms.pseudonymised(records).collect())
+    assert not any(u in g for g in got for u in ("carol", "dave", "10.0.0."))
+
+
+def test_values_beyond_the_dictionary_stay_hidden(spark):
+    records = syslog.parse_syslog(spark.createDataFrame([("f", 1, lines(0, 1)[0])], "file_path string, line_number bigint, line string"))
+    tokens = pseudonyms.dictionary(records).filter("category <> 'users'")
+    row = pseudonyms.pseudonymised(records, tokens).first()
+    assert "USER_UNKNOWN" in row["masked_log"] and "u0" not in row["message"]

@@ -136,14 +136,21 @@ def dictionary(records: DataFrame, canonical: bool = False) -> DataFrame:
     return _dictionary(rows, seen, mask, prefix, canonical)
 
 
-def _dictionary(rows: DataFrame, seen: DataFrame, mask: Callable[[dict, Token], dict], prefix: dict[str, str], canonical: bool) -> DataFrame:
-    first = _numbered(seen.filter("category <> 'commands'"), prefix)
+def grown(records: DataFrame, known: DataFrame) -> DataFrame:
+    """The dictionary ``known`` of syslog records with what these hold besides, numbered behind it."""
+    shared_folder(records.sparkSession, "seen")
+    seen = records.mapInPandas(_lister(_mask_syslog, ()), _SEEN).checkpoint()
+    return _dictionary(records, seen, _mask_syslog, SYSLOG_PREFIX, False, known)
+
+
+def _dictionary(rows: DataFrame, seen: DataFrame, mask: Callable[[dict, Token], dict], prefix: dict[str, str], canonical: bool, known: DataFrame | None = None) -> DataFrame:
+    first = _numbered(seen.filter("category <> 'commands'"), prefix, known)
     if canonical:
         return first
+    # a command's value has the pseudonyms of all of its text in it
     with_command = rows.filter(F.contains("message", F.lit("COMMAND=")))
-    known = _with_tokens(with_command, seen, first)
-    commands = known.mapInPandas(_lister(mask, ("commands",)), _SEEN)
-    return first.unionByName(_numbered(commands, prefix))
+    commands = _with_tokens(with_command, seen, first).mapInPandas(_lister(mask, ("commands",)), _SEEN)
+    return first.filter("category <> 'commands'").unionByName(_numbered(commands, prefix, None if known is None else known.filter("category = 'commands'")))
 
 
 def _lister(mask: Callable[[dict, Token], dict], only: tuple[str, ...]):
@@ -167,12 +174,26 @@ def _lister(mask: Callable[[dict, Token], dict], only: tuple[str, ...]):
     return run
 
 
-def _numbered(seen: DataFrame, prefix: dict[str, str]) -> DataFrame:
+def _numbered(seen: DataFrame, prefix: dict[str, str], known: DataFrame | None = None) -> DataFrame:
+    """Distinct values numbered by first appearance in their category, behind those of ``known``.
+
+    The values are sorted over all tasks; a task's numbers start behind those of the tasks before it.
+    """
     first = seen.groupBy("category", "value").agg(F.min(F.struct("file_path", "line_number", "step")).alias("first"))
-    # the window holds distinct values only, never records
-    ranked = first.withColumn("ordinal", F.row_number().over(Window.partitionBy("category").orderBy("first")))
+    if known is not None:
+        first = first.join(known.select("category", "value"), ["category", "value"], "left_anti")
+    shared_folder(seen.sparkSession, "numbers")
+    placed = first.repartitionByRange("category", "first").sortWithinPartitions("category", "first").select("category", "value", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("id")).checkpoint()
+    ahead = F.sum("n").over(Window.partitionBy("category").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    parts = placed.groupBy("category", "task").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("before", F.coalesce(ahead, F.lit(0)))  # a row for each task
+    last = F.lit(0)
+    if known is not None:
+        parts = parts.join(known.groupBy("category").agg(F.max("ordinal").alias("last")), "category", "left")
+        last = F.coalesce("last", F.lit(0))
     name = F.create_map(*[F.lit(x) for kv in prefix.items() for x in kv])[F.col("category")]
-    return ranked.select("category", "value", "ordinal", F.format_string("%s_%03d", name, F.col("ordinal")).alias("token"))
+    ranked = placed.join(parts, ["category", "task"]).select("category", "value", (F.col("id") - F.col("least") + F.col("before") + last + 1).cast("int").alias("ordinal"))
+    new = ranked.withColumn("token", F.format_string("%s_%03d", name, F.col("ordinal")))
+    return new if known is None else known.select(*new.columns).unionByName(new)
 
 
 def _with_tokens(rows: DataFrame, seen: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -188,16 +209,17 @@ def pseudonymised(records: DataFrame, tokens: DataFrame | None = None, canonical
 
     ``records`` come from parse_syslog, or with ``canonical`` from parse_lines or canonical; one row per
     file and line. pid becomes a text. Canonical records get the event that masking derives again.
-    Without ``keep_raw`` the column raw_log, which is personal, is left out.
+    Without ``keep_raw`` the column raw_log, which is personal, is left out. A value that ``tokens`` lacks
+    becomes UNKNOWN.
     """
-    mask = _mask_canonical if canonical else _mask_syslog
+    mask, prefix = (_mask_canonical, CANONICAL_PREFIX) if canonical else (_mask_syslog, SYSLOG_PREFIX)
     rows = _records(records, canonical)
     seen = rows.mapInPandas(_lister(mask, ()), _SEEN)
     if tokens is None:
         # listed once, for the numbers and for each record's own values
         shared_folder(records.sparkSession, "seen")
         seen = seen.checkpoint()
-        tokens = _dictionary(rows, seen, mask, CANONICAL_PREFIX if canonical else SYSLOG_PREFIX, canonical)
+        tokens = _dictionary(rows, seen, mask, prefix, canonical)
     known = _with_tokens(rows, seen.filter("category <> 'commands'"), tokens)
     if not canonical:
         # a command's own key is known once the rest of its text is masked
@@ -214,7 +236,8 @@ def pseudonymised(records: DataFrame, tokens: DataFrame | None = None, canonical
             out = []
             for row in pdf.to_dict("records"):
                 own = {(t["category"], t["value"]): t["token"] for t in row["tokens"]}
-                out.append(row | mask(row, lambda c, v, own=own: own.get((c, v), v)))
+                # a value that the dictionary lacks must not come through
+                out.append(row | mask(row, lambda c, v, own=own: own.get((c, v)) or f"{prefix[c]}_UNKNOWN"))
             yield pd.DataFrame(out, columns=[*names, "masked_log"])
 
     return known.mapInPandas(run, schema)

@@ -24,6 +24,11 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     numbers its own lines, and the splits' sizes, a small table, give their starts.
     """
     raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), valid_text(F.col("value")).alias("line"), F.monotonically_increasing_id().alias("_id"))
+    return with_line_numbers(raw)
+
+
+def with_line_numbers(raw: DataFrame) -> DataFrame:
+    """(file_path, line_number, line) of lines with their split's start, ``_block``, and rising ``_id``."""
     blocks = raw.groupBy("file_path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     ahead = F.sum("_n").over(Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     starts = blocks.select(F.col("file_path").alias("_f"), F.col("_block").alias("_b"), "_first", F.coalesce(ahead, F.lit(0)).alias("_start"))

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.operators.pseudonyms import SYSLOG_PREFIX, dictionary, pseudonymised
+from timberline.operators.pseudonyms import grown, pseudonymised
 from timberline.operators.syslog import parse_syslog
+from timberline.session import written
+from timberline.sources.files import valid_text, with_line_numbers
+
+_DICTIONARY = "category string, value string, ordinal int, token string"
 
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_path, line) of files as they arrive. A stream has no line numbers: they need a file's other splits."""
+    """(file_path, _block, line) of files as they arrive, undecodable bytes dropped. A stream has no line numbers:
+    they need a file's other splits. :func:`numbered` gives them to the files of a micro-batch."""
     raw = spark.readStream.text(folder)
-    return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line"))
+    return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), valid_text(F.col("value")).alias("line"))
+
+
+def numbered(batch: DataFrame) -> DataFrame:
+    """(file_path, line_number, line) of a micro-batch of :func:`stream_lines`: a file arrives whole, in one
+    batch, so its lines are numbered as in a batch run; use it in foreachBatch."""
+    return with_line_numbers(batch.withColumn("_id", F.monotonically_increasing_id()))
 
 
 def stream_syslog(spark: SparkSession, folder: str) -> DataFrame:
     """Structured records of arriving files, without line numbers."""
-    lines = stream_lines(spark, folder).withColumn("line_number", F.lit(None).cast("bigint"))
+    lines = stream_lines(spark, folder).drop("_block").withColumn("line_number", F.lit(None).cast("bigint"))
     return parse_syslog(lines)
 
 
@@ -35,28 +46,30 @@ def stream_sessions(events: DataFrame, entity: list[str], ts: str, gap: str = "3
 
 
 class StreamingDictionary:
-    """Pseudonyms that grow with micro-batches; use :meth:`batch` in foreachBatch.
+    """Pseudonyms that grow with micro-batches, kept under a path; use :meth:`batch` in foreachBatch.
 
-    New values are numbered behind those known. Numbers equal a batch run's as long as input arrives in order.
+    New values are numbered behind those known. Numbers equal a batch run's as long as input arrives in
+    order. A new instance goes on where the last one stopped, and a batch that is run again finds its own
+    version and changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, 0
+        self.spark, self.path = spark, path
+
+    def version(self) -> int:
+        """The last batch whose values are in the dictionary, -1 for none."""
+        return max((int(n[1:]) for n in written(self.spark, self.path)), default=-1)
 
-    def tokens(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], "category string, value string, ordinal int, token string")
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+    def tokens(self, version: int | None = None) -> DataFrame:
+        at = self.version() if version is None else version
+        if at < 0:
+            return self.spark.createDataFrame([], _DICTIONARY)
+        return self.spark.read.schema(_DICTIONARY).parquet(f"{self.path}/v{at}")
 
-    def batch(self, records: DataFrame) -> DataFrame:
+    def batch(self, records: DataFrame, batch_id: int | None = None) -> DataFrame:
         """The batch's records with pseudonyms, after the dictionary has taken in their new values."""
-        known = self.tokens()
-        fresh = dictionary(records).join(known.select("category", "value"), ["category", "value"], "left_anti")
-        last = known.groupBy("category").agg(F.max("ordinal").alias("last"))
-        rank = F.row_number().over(Window.partitionBy("category").orderBy("ordinal"))
-        numbered = fresh.join(last, "category", "left").withColumn("ordinal", (rank + F.coalesce("last", F.lit(0))).cast("int"))
-        name = F.create_map(*[F.lit(x) for kv in SYSLOG_PREFIX.items() for x in kv])[F.col("category")]
-        both = known.unionByName(numbered.select("category", "value", "ordinal", F.format_string("%s_%03d", name, F.col("ordinal")).alias("token")))
-        both.write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
-        return pseudonymised(records, self.tokens())
+        last = self.version()
+        at = last + 1 if batch_id is None else batch_id
+        if at > last:
+            grown(records, self.tokens(last)).write.mode("overwrite").parquet(f"{self.path}/v{at}")
+        return pseudonymised(records, self.tokens(at if at > last else last))
