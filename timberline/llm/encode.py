@@ -4,7 +4,8 @@ Texts are cut into pre-tokens; a block of documents keeps the list of its distin
 document, the positions' word numbers. The words of all blocks are shuffled by a hash of the word, so
 that each is encoded where all its blocks meet, once; the ids return to the blocks that asked for them
 and are put in place of the word numbers. A word crosses the network once per block and not once per
-occurrence, so no word is hotter than one row per block, and no table of words is broadcast.
+occurrence, so no word is hotter than one row per block, and no table of words is broadcast. A word that
+is no token by itself is encoded once where it meets, as long as a task has fewer than ``CACHE_WORDS`` of them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
+BUCKET_BYTES = 1 << 28  # of input for each bucket of words
+BUCKETS = (64, 2048)  # at least and at most, so that a block asks a bounded number of them
 PIECE_CHARS = 1_000_000
 CACHE_WORDS = 1_000_000
 
@@ -177,7 +180,7 @@ def _answer(name: str, folder: str):
                     if got is None:
                         if len(known) >= CACHE_WORDS:
                             known.clear()
-                        got = known[w] = tuple(enc._encode_single_piece(w))
+                        got = known[w] = tuple(enc.encode_ordinary(w.decode()))
                     counts.append(len(got))
                     ids.extend(got)
                 out.append((row["block"], row["bucket"], row["sum"], _pack(np.array(counts, np.uint32).tobytes()), _pack(np.array(ids, np.uint32).tobytes())))
@@ -237,7 +240,8 @@ def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", name: str = "
     another order, the query fails and doesn't mix them up.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(64, n)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    buckets = max(BUCKETS[0], min(BUCKETS[1], size // BUCKET_BYTES))
     src = df.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).dropna(subset=["doc"])
     blocks = src.mapInArrow(_to_blocks, _ddl(_BLOCKS)).repartition(n, "block")
     asked = blocks.mapInArrow(_ask(buckets), _ddl(_ASKED))
