@@ -2,7 +2,7 @@
 
 Two passes: every record lists what it holds, in the order in which a sequential reader would meet it;
 each distinct value gets the number of its first appearance. Then each record gets the pseudonyms of its
-own values (never the whole dictionary) and is rewritten. The records' order is data (file and line
+own values (never the whole dictionary) and is rewritten, syslog records by column expressions. The records' order is data (file and line
 number), so the numbering doesn't depend on partitions.
 """
 
@@ -12,22 +12,24 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.events import masked_event
-from timberline.functions.text import META_TYPE
+from timberline.functions.stage import staged
+from timberline.functions.text import BLANKS, META_TYPE
 from timberline.session import shared_folder
 
 # fixed values: prefixes of pseudonyms by category, for syslog and for canonical records
 SYSLOG_PREFIX = {"hosts": "HOST", "users": "USER", "pids": "PID", "remote_hosts": "REMOTE_HOST", "ips": "IP", "ports": "PORT", "paths": "PATH", "commands": "CMD"}
 CANONICAL_PREFIX = {"hosts": "HOST", "users": "USER", "pids": "PID", "remote_hosts": "REMOTE_HOST", "ports": "PORT"}
 # fixed values: patterns of what is masked in messages
-QUAD = re.compile(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b")
-CONNECTION = re.compile(r"(connection from\s+)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(\s+\()([^)]*)(\))")
-RHOST, FROM_IP = re.compile(r"(rhost=)(\S+)"), re.compile(r"(from\s+)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})")
-FOR_USER, USER_IS = re.compile(r"(for user\s+)(\S+)"), re.compile(r"(?<!\w)(user=)(\S+)")
-COMMAND = re.compile(r"COMMAND=(.+)$")
+QUAD = r"(?U)\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"
+CONNECTION = r"(?U)(connection from\s+)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(\s+\()([^)]*)(\))"
+RHOST, FROM_IP = r"(?U)(rhost=)(\S+)", r"(?U)(from\s+)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
+FOR_USER, USER_IS = r"(?U)(for user\s+)(\S+)", r"(?U)(?<!\w)(user=)(\S+)"
+COMMAND = r"(?d)COMMAND=(.+)$"
+IN_MESSAGE = re.compile(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b")
 PORT = re.compile(r"\bport\s+(\d+)\b")
 SESSION_USER = re.compile(r"session (?:opened|closed) for user ([A-Za-z0-9_\-.]+)")
 
@@ -36,52 +38,111 @@ ROW_KEY = ["file_path", "line_number"]
 _SEEN = "file_path string, line_number bigint, category string, value string, step int"
 
 
-def _kind(value: str) -> str:
-    return "ips" if QUAD.fullmatch(value) else "remote_hosts"
+def _replaced(text: Column, pattern: str, groups: int, put: Callable[..., Column]) -> Column:
+    """Every match of a pattern replaced by ``put`` of its groups."""
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(1, groups + 1)]
+    pieces = F.split(text, pattern, -1)
+    with_rest = F.transform(found[0], lambda _, i: F.concat(put(*[F.get(f, i) for f in found]), F.get(pieces, i + 1)))
+    return F.when(text.rlike(pattern), F.concat(F.get(pieces, F.lit(0)), F.array_join(with_rest, ""))).otherwise(text)
 
 
-def masked_message(message: str, token: Token) -> str:
-    """The message with everything personal replaced, step after step."""
+def _found(text: Column, pattern: str, group: int, kind: Callable[[Column], Column]) -> Column:
+    """(category, value) of one group of every match."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.when(text.rlike(pattern), F.transform(values, lambda v: _entry(kind(v), v))).otherwise(_none())
 
-    def connection(m: re.Match) -> str:
-        host = token("remote_hosts", m[4]) if m[4].strip() else ""
-        return f"{m[1]}{token('ips', m[2])}{m[3]}{host}{m[5]}"
 
-    out = CONNECTION.sub(connection, message)
-    out = RHOST.sub(lambda m: m[1] + token(_kind(m[2]), m[2]), out)
-    out = FROM_IP.sub(lambda m: m[1] + token("ips", m[2]), out)
-    out = FOR_USER.sub(lambda m: m[1] + token("users", m[2]), out)
-    out = USER_IS.sub(lambda m: m[1] + token("users", m[2]), out)
-    command = COMMAND.search(out)
-    if command:
-        out = out[: command.start(1)] + token("commands", command[1])
-    return QUAD.sub(lambda m: token("ips", m[0]), out)
+def _entry(category: Column, value: Column) -> Column:
+    return F.struct(category.alias("category"), value.alias("value"))
 
 
-def masked_metadata(meta: list[dict], token: Token) -> list[dict]:
-    kinds: dict[str, Callable[[str], str | None]] = {
-        "user": lambda v: "users",
-        "ruser": lambda v: "users" if v else None,
-        "rhost": lambda v: _kind(v) if v else None,
-        "source_ip": lambda v: "ips" if v else None,
-        "source_host": lambda v: "remote_hosts" if v else None,
-    }
-    out = []
-    for m in meta:
-        value = m["value"]
-        category = kinds[m["key"]]("" if value is None else value) if m["key"] in kinds else None
-        out.append(dict(m) if category is None else {"key": m["key"], "value": token(category, str(value)), "vtype": "string"})
-    return out
+def _none() -> Column:
+    return F.array().cast("array<struct<category:string,value:string>>")
 
 
-def _mask_syslog(row: dict, token: Token) -> dict:
-    host = None if row["hostname"] is None else token("hosts", row["hostname"])
-    pid = None if row["pid"] is None or pd.isna(row["pid"]) else token("pids", str(int(row["pid"])))
-    message = masked_message(row["message"] or "", token)
-    meta = masked_metadata(list(row["metadata"]), token)
-    component = f"({row['component']})" if row["component"] else ""
-    line = f"{row['timestamp']} {host} {row['process']}{component}{f'[{pid}]' if pid else ''}: {message}"
-    return {"hostname": host, "pid": pid, "message": message, "metadata": meta, "masked_log": line}
+def _kind(value: Column) -> Column:
+    return F.when(value.rlike(r"(?U)^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ips").otherwise("remote_hosts")
+
+
+def _always(category: str) -> Callable[[Column], Column]:
+    return lambda v: F.lit(category)
+
+
+def _meta_kind(m: Column) -> Column:
+    """The category of a pair's value; null for what isn't masked."""
+    some = F.coalesce(m["value"], F.lit("")) != ""
+    return (
+        F.when(m["key"] == "user", "users").when((m["key"] == "ruser") & some, "users").when((m["key"] == "rhost") & some, _kind(m["value"]))
+        .when((m["key"] == "source_ip") & some, "ips").when((m["key"] == "source_host") & some, "remote_hosts")
+    )
+
+
+def _meta_value(m: Column) -> Column:
+    return F.coalesce(m["value"], F.lit("None"))
+
+
+def _message_steps(rows: DataFrame, token: Callable[[Column, Column], Column]) -> DataFrame:
+    """``rows`` with ``__text``, the message with everything personal replaced, step after step; ``__seen``,
+    the (category, value) that the steps met, without commands; and ``__command``, what a command's
+    pseudonym stands for, null without one."""
+    by = lambda category: lambda p, v: F.concat(p, token(F.lit(category), v))
+    m = F.col("__text")
+    df = staged(rows, {"__text": F.coalesce(F.col("message"), F.lit("")), "__seen": _none()})
+
+    def step(df: DataFrame, pattern: str, groups: int, put: Callable[..., Column], seen: list[Column]) -> DataFrame:
+        return staged(df, {"__text": _replaced(m, pattern, groups, put), "__seen": F.concat("__seen", *seen)})
+
+    named = F.filter(_found(m, CONNECTION, 4, _always("remote_hosts")), lambda x: F.trim(x["value"], F.lit(BLANKS)) != "")
+    host = lambda v: F.when(F.trim(v, F.lit(BLANKS)) != "", token(F.lit("remote_hosts"), v)).otherwise("")
+    df = step(df, CONNECTION, 5, lambda p, ip, space, h, end: F.concat(p, token(F.lit("ips"), ip), space, host(h), end), [_found(m, CONNECTION, 2, _always("ips")), named])
+    df = step(df, RHOST, 2, lambda p, v: F.concat(p, token(_kind(v), v)), [_found(m, RHOST, 2, _kind)])
+    df = step(df, FROM_IP, 2, by("ips"), [_found(m, FROM_IP, 2, _always("ips"))])
+    df = step(df, FOR_USER, 2, by("users"), [_found(m, FOR_USER, 2, _always("users"))])
+    df = step(df, USER_IS, 2, by("users"), [_found(m, USER_IS, 2, _always("users"))])
+    command = F.nullif(F.regexp_extract(m, COMMAND, 1), F.lit(""))
+    df = staged(df, {"__command": F.when(m.contains("COMMAND="), command)})
+    cut = F.concat(F.left(m, F.length(m) - F.length("__command")), token(F.lit("commands"), F.col("__command")))
+    df = staged(df, {"__text": F.when(F.col("__command").isNotNull(), cut).otherwise(m)})
+    return step(df, QUAD, 1, lambda v: token(F.lit("ips"), v), [_found(m, QUAD, 1, _always("ips"))])
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """What syslog records hold, in the order in which a reader would meet it; commands come later."""
+    df = _message_steps(rows, lambda category, value: F.lit(""))
+    own = F.array_compact(F.array(F.when(F.col("hostname").isNotNull(), _entry(F.lit("hosts"), F.col("hostname"))), F.when(F.col("pid").isNotNull(), _entry(F.lit("pids"), F.col("pid").cast("bigint").cast("string")))))
+    meta = F.transform(F.filter(F.coalesce("metadata", F.array().cast(META_TYPE)), lambda m: _meta_kind(m).isNotNull()), lambda m: _entry(_meta_kind(m), _meta_value(m)))
+    every = df.select(*ROW_KEY, F.posexplode(F.concat(own, "__seen", meta)).alias("step", "x"))
+    return every.select(*ROW_KEY, "x.category", "x.value", "step")
+
+
+def _lookup(category: Column, value: Column) -> Column:
+    """The row's own pseudonym of a value; one that the dictionary lacks must not come through."""
+    prefixes = F.create_map(*[F.lit(x) for kv in SYSLOG_PREFIX.items() for x in kv])
+    return F.coalesce(F.try_element_at(F.col("__own"), F.concat(category, F.lit("\0"), value)), F.concat(F.try_element_at(prefixes, category), F.lit("_UNKNOWN")))
+
+
+def _own_tokens(known: DataFrame) -> DataFrame:
+    pairs = F.transform("tokens", lambda t: F.struct(F.concat(t["category"], F.lit("\0"), t["value"]), t["token"]))
+    return staged(known, {"__own": F.map_from_entries(F.array_distinct(pairs))})
+
+
+def _commands(known: DataFrame) -> DataFrame:
+    """What the commands' pseudonyms stand for, once the rest of the text is masked."""
+    df = _message_steps(_own_tokens(known.filter(F.contains("message", F.lit("COMMAND=")))), _lookup)
+    return df.filter("__command is not null").select(*ROW_KEY, F.lit("commands").alias("category"), F.col("__command").alias("value"), F.lit(0).alias("step"))
+
+
+def _masked_syslog(known: DataFrame, names: list[str]) -> DataFrame:
+    df = _message_steps(_own_tokens(known), _lookup)
+    host = F.when(F.col("hostname").isNotNull(), _lookup(F.lit("hosts"), F.col("hostname")))
+    pid = F.when(F.col("pid").isNotNull(), _lookup(F.lit("pids"), F.col("pid").cast("bigint").cast("string")))
+    meta = F.transform("metadata", lambda m: F.when(_meta_kind(m).isNull(), m).otherwise(F.struct(m["key"].alias("key"), _lookup(_meta_kind(m), _meta_value(m)).alias("value"), F.lit("string").alias("vtype"))))
+    df = staged(df, {"__host": host, "__pid": pid, "__meta": meta.cast(META_TYPE)})
+    text = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    part = lambda c, before, after: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(before), F.col(c), F.lit(after))).otherwise("")
+    line = F.concat(text("timestamp"), F.lit(" "), text("__host"), F.lit(" "), text("process"), part("component", "(", ")"), part("__pid", "[", "]"), F.lit(": "), F.col("__text"))
+    new = {"hostname": F.col("__host"), "pid": F.col("__pid"), "message": F.col("__text"), "metadata": F.col("__meta")}
+    return df.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names], line.alias("masked_log"))
 
 
 def replaced_words(text: str, tokens: dict[str, str]) -> str:
@@ -106,7 +167,7 @@ def _mask_canonical(row: dict, token: Token) -> dict:
         if value:
             local[value] = token(category, value)
             meta[key] = {"key": key, "value": local[value], "vtype": "string"}
-    for ip in QUAD.findall(message):
+    for ip in IN_MESSAGE.findall(message):
         local[ip] = token("remote_hosts", ip)
     for m in PORT.finditer(message):
         local[m[1]] = token("ports", m[1])
@@ -130,48 +191,45 @@ def dictionary(records: DataFrame, canonical: bool = False) -> DataFrame:
     Records are ordered by file and line number. A command's value is its text after all other masking,
     so commands are numbered in a second round.
     """
-    mask, prefix = (_mask_canonical, CANONICAL_PREFIX) if canonical else (_mask_syslog, SYSLOG_PREFIX)
     rows = _records(records, canonical)
-    seen = rows.mapInPandas(_lister(mask, ()), _SEEN)
-    return _dictionary(rows, seen, mask, prefix, canonical)
+    return _dictionary(rows, _seen_once(rows, canonical), canonical)
+
+
+def _seen_once(rows: DataFrame, canonical: bool) -> DataFrame:
+    """What the records hold, listed once for the numbers and for each record's own values."""
+    shared_folder(rows.sparkSession, "seen")
+    return (rows.mapInPandas(_lister, _SEEN) if canonical else _listed(rows)).checkpoint()
 
 
 def grown(records: DataFrame, known: DataFrame) -> DataFrame:
     """The dictionary ``known`` of syslog records with what these hold besides, numbered behind it."""
-    shared_folder(records.sparkSession, "seen")
-    seen = records.mapInPandas(_lister(_mask_syslog, ()), _SEEN).checkpoint()
-    return _dictionary(records, seen, _mask_syslog, SYSLOG_PREFIX, False, known)
+    return _dictionary(records, _seen_once(records, False), False, known)
 
 
-def _dictionary(rows: DataFrame, seen: DataFrame, mask: Callable[[dict, Token], dict], prefix: dict[str, str], canonical: bool, known: DataFrame | None = None) -> DataFrame:
-    first = _numbered(seen.filter("category <> 'commands'"), prefix, known)
+def _dictionary(rows: DataFrame, seen: DataFrame, canonical: bool, known: DataFrame | None = None) -> DataFrame:
     if canonical:
-        return first
+        return _numbered(seen, CANONICAL_PREFIX, known)
+    first = _numbered(seen, SYSLOG_PREFIX, known)
     # a command's value has the pseudonyms of all of its text in it
-    with_command = rows.filter(F.contains("message", F.lit("COMMAND=")))
-    commands = _with_tokens(with_command, seen, first).mapInPandas(_lister(mask, ("commands",)), _SEEN)
-    return first.filter("category <> 'commands'").unionByName(_numbered(commands, prefix, None if known is None else known.filter("category = 'commands'")))
+    commands = _commands(_with_tokens(rows.filter(F.contains("message", F.lit("COMMAND="))), seen, first))
+    return first.filter("category <> 'commands'").unionByName(_numbered(commands, SYSLOG_PREFIX, None if known is None else known.filter("category = 'commands'")))
 
 
-def _lister(mask: Callable[[dict, Token], dict], only: tuple[str, ...]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[tuple] = []
-            for row in pdf.to_dict("records"):
-                tokens = {(t["category"], t["value"]): t["token"] for t in row.get("tokens", ())}
-                step = 0
+def _lister(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What canonical records hold."""
+    for pdf in batches:
+        out: list[tuple] = []
+        for row in pdf.to_dict("records"):
+            step = 0
 
-                def token(category: str, value: str, row=row, tokens=tokens) -> str:
-                    nonlocal step
-                    if not only or category in only:
-                        out.append((row["file_path"], row["line_number"], category, value, step))
-                        step += 1
-                    return tokens.get((category, value), "")
+            def token(category: str, value: str, row=row) -> str:
+                nonlocal step
+                out.append((row["file_path"], row["line_number"], category, value, step))
+                step += 1
+                return ""
 
-                mask(row, token)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SEEN.split(", ")])
-
-    return run
+            _mask_canonical(row, token)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _SEEN.split(", ")])
 
 
 def _numbered(seen: DataFrame, prefix: dict[str, str], known: DataFrame | None = None) -> DataFrame:
@@ -212,23 +270,19 @@ def pseudonymised(records: DataFrame, tokens: DataFrame | None = None, canonical
     Without ``keep_raw`` the column raw_log, which is personal, is left out. A value that ``tokens`` lacks
     becomes UNKNOWN.
     """
-    mask, prefix = (_mask_canonical, CANONICAL_PREFIX) if canonical else (_mask_syslog, SYSLOG_PREFIX)
     rows = _records(records, canonical)
-    seen = rows.mapInPandas(_lister(mask, ()), _SEEN)
+    seen = _seen_once(rows, canonical)
     if tokens is None:
-        # listed once, for the numbers and for each record's own values
-        shared_folder(records.sparkSession, "seen")
-        seen = seen.checkpoint()
-        tokens = _dictionary(rows, seen, mask, prefix, canonical)
-    known = _with_tokens(rows, seen.filter("category <> 'commands'"), tokens)
+        tokens = _dictionary(rows, seen, canonical)
+    known = _with_tokens(rows, seen, tokens)
+    kinds = dict(rows.dtypes) | {"pid": "string", "metadata": META_TYPE}
+    names = [c for c in rows.columns if keep_raw or c != "raw_log"]
     if not canonical:
         # a command's own key is known once the rest of its text is masked
-        commands = tokens.filter("category = 'commands'")
-        keyed = known.filter(F.contains("message", F.lit("COMMAND="))).mapInPandas(_lister(mask, ("commands",)), _SEEN)
-        extra = keyed.join(commands.select("category", "value", "token"), ["category", "value"]).groupBy(*ROW_KEY).agg(F.collect_list(F.struct("category", "value", "token")).alias("_c"))
+        commands = tokens.filter("category = 'commands'").select("category", "value", "token")
+        extra = _commands(known).join(commands, ["category", "value"]).groupBy(*ROW_KEY).agg(F.collect_list(F.struct("category", "value", "token")).alias("_c"))
         known = known.join(extra, ROW_KEY, "left").withColumn("tokens", F.when(F.col("_c").isNotNull(), F.concat("tokens", "_c")).otherwise(F.col("tokens"))).drop("_c")
-    kinds = dict(rows.dtypes) | {"pid": "string", "metadata": META_TYPE}
-    names = [c for c in rows.columns if keep_raw or c != "raw_log"]
+        return _masked_syslog(known, names)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", masked_log string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,7 +291,7 @@ def pseudonymised(records: DataFrame, tokens: DataFrame | None = None, canonical
             for row in pdf.to_dict("records"):
                 own = {(t["category"], t["value"]): t["token"] for t in row["tokens"]}
                 # a value that the dictionary lacks must not come through
-                out.append(row | mask(row, lambda c, v, own=own: own.get((c, v)) or f"{prefix[c]}_UNKNOWN"))
+                out.append(row | _mask_canonical(row, lambda c, v, own=own: own.get((c, v)) or f"{CANONICAL_PREFIX[c]}_UNKNOWN"))
             yield pd.DataFrame(out, columns=[*names, "masked_log"])
 
     return known.mapInPandas(run, schema)

@@ -59,9 +59,9 @@ def count_by(records: DataFrame, by: str, limit: int = 100) -> DataFrame:
     return counts.select("key", "count")
 
 
-def first_rows(records: DataFrame, limit: int = 100) -> DataFrame:
+def first_rows(records: DataFrame, limit: int = 100, order: tuple[str, ...] = ("file_path", "line_number")) -> DataFrame:
     """The first rows in input order."""
-    ordered = records.orderBy("file_path", "line_number")
+    ordered = records.orderBy(*order)
     return ordered.limit(limit) if limit else ordered
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,10 +142,11 @@ def filter_host(spark, d):
     return structured(spark, d).filter(records.matches(hostname="bastion-01")).select("record_id")
 
 
-@query(_filter("cast(pid as varchar) like '1%' and pid between 1 and 19999 and cast(pid as varchar) = '12345' or pid = 1234"))
+@query("select record_id from structured where pid in (select min(pid) from structured union all select max(pid) from structured)")
 def filter_pid(spark, d):
     s = structured(spark, d)
-    return s.filter(records.matches(pid="12345") | records.matches(pid=1234)).select("record_id")
+    ends = s.agg(F.min("pid").alias("a"), F.max("pid").alias("b")).first()
+    return s.filter(records.matches(pid=str(ends["a"])) | records.matches(pid=ends["b"])).select("record_id")
 
 
 @query(_filter(f"coalesce({_META.format('user')}, 'None') = 'root' and contains(lower(message), 'session')"))
@@ -188,7 +190,7 @@ def agg_hour(spark, d):
 
 @query("select record_id from structured order by file_path, line_number, record_id limit 100")
 def first_n_rows(spark, d):
-    return structured(spark, d).orderBy("file_path", "line_number", "record_id").limit(100).select("record_id")
+    return records.first_rows(structured(spark, d), 100, ("file_path", "line_number", "record_id")).select("record_id")
 
 
 @query("select " + ", ".join(f"coalesce(cast({c} as varchar), '') as {c}" for c in ("record_id", "hostname", "process", "component", "pid", "message", "event")) + f", coalesce({_META.format('user')}, '') as \"meta.user\", coalesce({_META.format('rhost')}, '') as \"meta.rhost\" from structured")
@@ -235,7 +237,7 @@ def timestamp_sniff(spark, d):
     return table(spark, d, "canonical").select("record_id", stamp.alias("stamp"), name.alias("stamp_format"))
 
 
-_PLAIN = {f.name: f.pattern.replace("(?d)(?U)", "").replace("*+", "*").replace("++", "+") for f in formats.FORMATS}
+_PLAIN = {f.name: re.sub(r"\(\?=\\s.*?\\S\)", "", f.pattern.replace("(?d)(?U)", "")).replace("*+", "*").replace("++", "+") for f in formats.FORMATS}
 
 
 def _hit(name: str) -> str:
