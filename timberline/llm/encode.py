@@ -240,7 +240,7 @@ def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", name: str = "
     another order, the query fails and doesn't mix them up.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(BUCKETS[0], min(BUCKETS[1], size // BUCKET_BYTES))
     src = df.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).dropna(subset=["doc"])
     blocks = src.mapInArrow(_to_blocks, _ddl(_BLOCKS)).repartition(n, "block")
