@@ -171,3 +171,21 @@ def test_hostile_lines_end_in_time(spark):
     rows = df.withColumn("_format", detect.F.expr("array('bsd_syslog', 'apache_combined', 'generic_iso', 'key_value')[line_number % 4]"))
     canonical(rows).agg(detect.F.sum(detect.F.length("message"))).collect()
     assert time.time() - started < 90
+
+
+def test_proposed_formats_are_registered_for_files_that_none_fits(spark):
+    odd = frame(spark, [f"@@ {i} >> text {i}" for i in range(30)], "odd")
+    asked = []
+
+    def provider(sample):
+        asked.append(len(sample))
+        return r"@@ (?P<pid>\d+) >> (?P<message>.+)"
+
+    before = list(FORMATS)
+    try:
+        names = detect.register_provided(odd.unionByName(frame(spark, [SAMPLES["hdfs_log"]] * 5, "known")), provider)
+        assert (names, asked) == (["provided_0"], [10])
+        assert {r["format"] for r in detect.detected_formats(odd).collect()} == {"provided_0"}
+    finally:
+        FORMATS[:] = before
+    assert detect.register_provided(odd, lambda sample: None) == []

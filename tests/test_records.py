@@ -189,8 +189,12 @@ def test_command_line(spark, tmp_path, capsys):
     log.write_text("\n".join(f"Jun  4 01:02:{i:02} box su[{i}]: session opened for user u{i % 3} by (uid=0)" for i in range(40)) + "\n")
     cli.main(["syslog", str(log), "-o", str(tmp_path / "s"), "--anonymize"])
     cli.main(["parse", str(log), "-o", str(tmp_path / "p")])
-    cli.main(["query", str(tmp_path / "p"), "--process", "su", "--count-by", "event"])
+    (tmp_path / "q").mkdir()
+    cli.main(["parse", str(log), "-o", str(tmp_path / "q/out.json"), "--format", "pretty", "--anonymize"])
+    assert "hosts" in json.loads((tmp_path / "q/anonymization_map.json").read_text())
+    assert json.loads((tmp_path / "q/out.json").read_text())["logs"]
+    cli.main(["query", "-i", str(tmp_path / "p"), "--process", "su", "--aggregate", "event"])
     assert "session_opened" in capsys.readouterr().out
     cli.main(["corpus", str(tmp_path / "s"), "-o", str(tmp_path / "c")])
-    cli.main(["score", str(tmp_path / "c/corpus_full"), "--window-size", "2"])
+    cli.main(["score", "--corpus", str(tmp_path / "c/corpus_full"), "--window_size", "2"])
     assert "threshold" in capsys.readouterr().out

@@ -7,8 +7,11 @@ line, and streams: its memory is one buffer of failures, whatever the file's len
 
 from __future__ import annotations
 
+import json
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from timberline.functions.stage import staged
 from timberline.functions.text import strip
 from timberline.functions.vocab import FIELD_OF
-from timberline.operators.formats import FORMATS, LineFormat, canonical, continues, fits, json_object
+from timberline.operators.formats import FORMATS, LineFormat, canonical, continues, fits, json_object, register_format
 
 SAMPLE = 20
 FAILURES = 10
@@ -248,3 +251,37 @@ def provided_format(sample: list[str], provider: FormatProvider) -> LineFormat |
     level = next((n for n, t in fields.items() if t == "severity"), None)
     java = re.sub(r"\(\?P<\w+>", "(", text)
     return LineFormat("provided", f"(?d)(?U){java if java.startswith('^') else '^' + java}", tuple(groups), 20, {n: t for n, t in fields.items() if t != "severity"}, level)
+
+
+def endpoint(url: str, model: str, seconds: float = 60) -> FormatProvider:
+    """A provider that asks a model behind an HTTP interface for a pattern."""
+
+    def ask(lines: list[str]) -> str | None:
+        prompt = "Give one Python regular expression with named groups that matches each of these log lines, and nothing else:\n" + "\n".join(lines)
+        body = json.dumps({"model": model, "prompt": prompt, "stream": False}).encode()
+        request = urllib.request.Request(f"{url.rstrip('/')}/api/generate", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=seconds) as answer:
+            return json.loads(answer.read()).get("response")
+
+    return ask
+
+
+def register_provided(lines: DataFrame, provider: FormatProvider, sample_size: int = SAMPLE, most_files: int = 20) -> list[str]:
+    """Registers a proposed format for each of the first files that no format fits; returns their names.
+
+    ``most_files`` bounds how often the provider is asked; the other files stay without a format, as they
+    are without a provider.
+    """
+    plain = detected_formats(lines, sample_size).filter("format is null").orderBy("file_path").limit(most_files)
+    texts = lines.dropna(subset=["file_path", "line_number"]).withColumn("blank", strip(F.coalesce(F.col("line"), F.lit(""))) == "")
+    rows = _sampled(texts, sample_size).join(plain.select(F.col("file_path").alias("_f")), F.col("file_path") == F.col("_f")).orderBy("file_path", "line_number").select("file_path", "line").collect()  # at most most_files * sample_size
+    by: dict[str, list[str]] = {}
+    for r in rows:
+        by.setdefault(r["file_path"], []).append(r["line"])
+    found = []
+    for i, sample in enumerate(by.values()):
+        fmt = provided_format(sample, provider)
+        if fmt is not None:
+            found.append(f"provided_{i}")
+            register_format(replace(fmt, name=found[-1]))
+    return found

@@ -41,10 +41,10 @@ def write_ndjson(records: DataFrame, path: str) -> None:
 
 
 def write_ndjson_with_stats(records: DataFrame, stats: dict, path: str, first: bool = False) -> None:
-    """JSON lines and the run's statistics, under ``_metadata`` beside them: as the first or last part by name."""
-    write_ndjson(records, path)
-    name = "part-0-metadata" if first else "part-z-metadata"
-    records.sparkSession.createDataFrame([(json.dumps({"_metadata": stats}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/_{name}")
+    """JSON lines and the run's statistics under ``_metadata``, as the first or the last line of the parts."""
+    lines = records.select(json_text(records).alias("value"))
+    said = records.sparkSession.createDataFrame([(json.dumps({"_metadata": stats}),)], "value string").coalesce(1)
+    (said.union(lines) if first else lines.union(said)).write.mode("overwrite").text(path)
 
 
 def write_json(records: DataFrame, path: str, metadata: dict | None = None, order: tuple[str, ...] = ("file_path", "line_number")) -> None:
