@@ -12,11 +12,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.events import masked_event
-from timberline.functions.stage import staged
 from timberline.functions.text import BLANKS, META_TYPE
 from timberline.session import shared_folder
 
@@ -38,111 +37,106 @@ ROW_KEY = ["file_path", "line_number"]
 _SEEN = "file_path string, line_number bigint, category string, value string, step int"
 
 
-def _replaced(text: Column, pattern: str, groups: int, put: Callable[..., Column]) -> Column:
-    """Every match of a pattern replaced by ``put`` of its groups."""
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(1, groups + 1)]
-    pieces = F.split(text, pattern, -1)
-    with_rest = F.transform(found[0], lambda _, i: F.concat(put(*[F.get(f, i) for f in found]), F.get(pieces, i + 1)))
-    return F.when(text.rlike(pattern), F.concat(F.get(pieces, F.lit(0)), F.array_join(with_rest, ""))).otherwise(text)
+_ENTRIES = "cast(array() as array<struct<category:string,value:string>>)"
+_IS_IP = r"rlike r'(?U)^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$'"
 
 
-def _found(text: Column, pattern: str, group: int, kind: Callable[[Column], Column]) -> Column:
-    """(category, value) of one group of every match."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.when(text.rlike(pattern), F.transform(values, lambda v: _entry(kind(v), v))).otherwise(_none())
+def _sql_staged(df: DataFrame, columns: list[str], new: dict[str, str]) -> DataFrame:
+    """As ``staged``, of SQL expressions; ``columns`` are those of ``df``. Few calls make small work of a long chain."""
+    keep = [f"`{c}`" for c in columns if c not in new]
+    row = ", ".join(f"'{k}', {v}" for k, v in new.items())
+    return df.selectExpr(*keep, f"explode_outer(array(named_struct({row}))) as __one").selectExpr(*keep, *[f"__one.{k} as {k}" for k in new])
 
 
-def _entry(category: Column, value: Column) -> Column:
-    return F.struct(category.alias("category"), value.alias("value"))
+def _replaced(pattern: str, put: Callable[[Callable[[int], str]], str]) -> str:
+    """SQL of ``__text`` with every match of a pattern replaced by ``put`` of its groups."""
+    pieces = f"split(__text, r'{pattern}', -1)"
+    made = put(lambda g: f"regexp_extract_all(__text, r'{pattern}', {g})[i]")
+    return f"if(__text rlike r'{pattern}', concat({pieces}[0], array_join(transform(regexp_extract_all(__text, r'{pattern}', 1), (g, i) -> concat({made}, {pieces}[i + 1])), '')), __text)"
 
 
-def _none() -> Column:
-    return F.array().cast("array<struct<category:string,value:string>>")
+def _found(pattern: str, group: int, kind: str) -> str:
+    """SQL of (category, value) of one group of every match."""
+    return f"if(__text rlike r'{pattern}', transform(regexp_extract_all(__text, r'{pattern}', {group}), v -> named_struct('category', {kind}, 'value', v)), {_ENTRIES})"
 
 
-def _kind(value: Column) -> Column:
-    return F.when(value.rlike(r"(?U)^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ips").otherwise("remote_hosts")
+def _kind(value: str) -> str:
+    return f"if({value} {_IS_IP}, 'ips', 'remote_hosts')"
 
 
-def _always(category: str) -> Callable[[Column], Column]:
-    return lambda v: F.lit(category)
+def _nothing(category: str, value: str) -> str:
+    return "''"
 
 
-def _meta_kind(m: Column) -> Column:
-    """The category of a pair's value; null for what isn't masked."""
-    some = F.coalesce(m["value"], F.lit("")) != ""
-    return (
-        F.when(m["key"] == "user", "users").when((m["key"] == "ruser") & some, "users").when((m["key"] == "rhost") & some, _kind(m["value"]))
-        .when((m["key"] == "source_ip") & some, "ips").when((m["key"] == "source_host") & some, "remote_hosts")
-    )
+def _lookup(category: str, value: str) -> str:
+    """The row's own pseudonym of a value; one that the dictionary lacks must not come through."""
+    return f"coalesce(try_element_at(__own, concat('{category}|', {value})), '{SYSLOG_PREFIX[category]}_UNKNOWN')"
+
 
+def _either(token: Callable[[str, str], str], value: str) -> str:
+    return f"if({value} {_IS_IP}, {token('ips', value)}, {token('remote_hosts', value)})"
 
-def _meta_value(m: Column) -> Column:
-    return F.coalesce(m["value"], F.lit("None"))
 
+# of a pair of metadata, m: its value, and the category under which that is masked, null for none
+_META_VALUE = "coalesce(m.value, 'None')"
+_META_KIND = f"""case when m.key = 'user' then 'users' when coalesce(m.value, '') = '' then null when m.key = 'ruser' then 'users'
+    when m.key = 'rhost' then {_kind('m.value')} when m.key = 'source_ip' then 'ips' when m.key = 'source_host' then 'remote_hosts' end"""
 
-def _message_steps(rows: DataFrame, token: Callable[[Column, Column], Column]) -> DataFrame:
+
+def _message_steps(rows: DataFrame, columns: list[str], token: Callable[[str, str], str]) -> tuple[DataFrame, list[str]]:
     """``rows`` with ``__text``, the message with everything personal replaced, step after step; ``__seen``,
     the (category, value) that the steps met, without commands; and ``__command``, what a command's
-    pseudonym stands for, null without one."""
-    by = lambda category: lambda p, v: F.concat(p, token(F.lit(category), v))
-    m = F.col("__text")
-    df = staged(rows, {"__text": F.coalesce(F.col("message"), F.lit("")), "__seen": _none()})
-
-    def step(df: DataFrame, pattern: str, groups: int, put: Callable[..., Column], seen: list[Column]) -> DataFrame:
-        return staged(df, {"__text": _replaced(m, pattern, groups, put), "__seen": F.concat("__seen", *seen)})
-
-    named = F.filter(_found(m, CONNECTION, 4, _always("remote_hosts")), lambda x: F.trim(x["value"], F.lit(BLANKS)) != "")
-    host = lambda v: F.when(F.trim(v, F.lit(BLANKS)) != "", token(F.lit("remote_hosts"), v)).otherwise("")
-    df = step(df, CONNECTION, 5, lambda p, ip, space, h, end: F.concat(p, token(F.lit("ips"), ip), space, host(h), end), [_found(m, CONNECTION, 2, _always("ips")), named])
-    df = step(df, RHOST, 2, lambda p, v: F.concat(p, token(_kind(v), v)), [_found(m, RHOST, 2, _kind)])
-    df = step(df, FROM_IP, 2, by("ips"), [_found(m, FROM_IP, 2, _always("ips"))])
-    df = step(df, FOR_USER, 2, by("users"), [_found(m, FOR_USER, 2, _always("users"))])
-    df = step(df, USER_IS, 2, by("users"), [_found(m, USER_IS, 2, _always("users"))])
-    command = F.nullif(F.regexp_extract(m, COMMAND, 1), F.lit(""))
-    df = staged(df, {"__command": F.when(m.contains("COMMAND="), command)})
-    cut = F.concat(F.left(m, F.length(m) - F.length("__command")), token(F.lit("commands"), F.col("__command")))
-    df = staged(df, {"__text": F.when(F.col("__command").isNotNull(), cut).otherwise(m)})
-    return step(df, QUAD, 1, lambda v: token(F.lit("ips"), v), [_found(m, QUAD, 1, _always("ips"))])
+    pseudonym stands for, null without one. ``columns`` are those of ``rows``; also returns all names."""
+    df = _sql_staged(rows, columns, {"__text": "coalesce(message, '')", "__seen": _ENTRIES})
+    columns = [*columns, "__text", "__seen"]
+
+    def step(df: DataFrame, pattern: str, put: Callable[[Callable[[int], str]], str], *seen: str) -> DataFrame:
+        return _sql_staged(df, columns, {"__text": _replaced(pattern, put), "__seen": f"concat(__seen, {', '.join(seen)})"})
+
+    some = f"trim(BOTH '{BLANKS}' FROM "
+    named = f"filter({_found(CONNECTION, 4, repr('remote_hosts'))}, x -> {some}x.value) <> '')"
+    df = step(df, CONNECTION, lambda g: f"concat({g(1)}, {token('ips', g(2))}, {g(3)}, if({some}{g(4)}) <> '', {token('remote_hosts', g(4))}, ''), {g(5)})", _found(CONNECTION, 2, "'ips'"), named)
+    df = step(df, RHOST, lambda g: f"concat({g(1)}, {_either(token, g(2))})", _found(RHOST, 2, _kind("v")))
+    df = step(df, FROM_IP, lambda g: f"concat({g(1)}, {token('ips', g(2))})", _found(FROM_IP, 2, "'ips'"))
+    df = step(df, FOR_USER, lambda g: f"concat({g(1)}, {token('users', g(2))})", _found(FOR_USER, 2, "'users'"))
+    df = step(df, USER_IS, lambda g: f"concat({g(1)}, {token('users', g(2))})", _found(USER_IS, 2, "'users'"))
+    df = _sql_staged(df, columns, {"__command": f"if(contains(__text, 'COMMAND='), nullif(regexp_extract(__text, r'{COMMAND}', 1), ''), null)"})
+    columns = [*columns, "__command"]
+    df = _sql_staged(df, columns, {"__text": f"if(__command is not null, concat(left(__text, length(__text) - length(__command)), {token('commands', '__command')}), __text)"})
+    columns = [*[c for c in columns if c != "__text"], "__text"]
+    return step(df, QUAD, lambda g: token("ips", g(1)), _found(QUAD, 1, "'ips'")), columns
 
 
 def _listed(rows: DataFrame) -> DataFrame:
     """What syslog records hold, in the order in which a reader would meet it; commands come later."""
-    df = _message_steps(rows, lambda category, value: F.lit(""))
-    own = F.array_compact(F.array(F.when(F.col("hostname").isNotNull(), _entry(F.lit("hosts"), F.col("hostname"))), F.when(F.col("pid").isNotNull(), _entry(F.lit("pids"), F.col("pid").cast("bigint").cast("string")))))
-    meta = F.transform(F.filter(F.coalesce("metadata", F.array().cast(META_TYPE)), lambda m: _meta_kind(m).isNotNull()), lambda m: _entry(_meta_kind(m), _meta_value(m)))
-    every = df.select(*ROW_KEY, F.posexplode(F.concat(own, "__seen", meta)).alias("step", "x"))
-    return every.select(*ROW_KEY, "x.category", "x.value", "step")
-
-
-def _lookup(category: Column, value: Column) -> Column:
-    """The row's own pseudonym of a value; one that the dictionary lacks must not come through."""
-    prefixes = F.create_map(*[F.lit(x) for kv in SYSLOG_PREFIX.items() for x in kv])
-    return F.coalesce(F.try_element_at(F.col("__own"), F.concat(category, F.lit("\0"), value)), F.concat(F.try_element_at(prefixes, category), F.lit("_UNKNOWN")))
+    df, _ = _message_steps(rows.select(*ROW_KEY, "hostname", "pid", "message", "metadata"), [*ROW_KEY, "hostname", "pid", "message", "metadata"], _nothing)
+    own = "array_compact(array(if(hostname is null, null, named_struct('category', 'hosts', 'value', hostname)), if(pid is null, null, named_struct('category', 'pids', 'value', cast(cast(pid as bigint) as string)))))"
+    meta = f"transform(filter(coalesce(metadata, cast(array() as {META_TYPE})), m -> {_META_KIND} is not null), m -> named_struct('category', {_META_KIND}, 'value', {_META_VALUE}))"
+    every = df.selectExpr(*ROW_KEY, "__command is not null as command", f"posexplode(concat({own}, __seen, {meta})) as (step, x)")
+    return every.selectExpr(*ROW_KEY, "x.category", "x.value", "step", "command")
 
 
-def _own_tokens(known: DataFrame) -> DataFrame:
-    pairs = F.transform("tokens", lambda t: F.struct(F.concat(t["category"], F.lit("\0"), t["value"]), t["token"]))
-    return staged(known, {"__own": F.map_from_entries(F.array_distinct(pairs))})
+def _own_tokens(known: DataFrame, columns: list[str]) -> DataFrame:
+    return _sql_staged(known, columns, {"__own": "map_from_entries(array_distinct(transform(tokens, t -> struct(concat(t.category, '|', t.value), t.token))))"})
 
 
 def _commands(known: DataFrame) -> DataFrame:
     """What the commands' pseudonyms stand for, once the rest of the text is masked."""
-    df = _message_steps(_own_tokens(known.filter(F.contains("message", F.lit("COMMAND=")))), _lookup)
-    return df.filter("__command is not null").select(*ROW_KEY, F.lit("commands").alias("category"), F.col("__command").alias("value"), F.lit(0).alias("step"))
+    columns = [*ROW_KEY, "message", "tokens"]
+    with_command = known.filter(F.contains("message", F.lit("COMMAND="))).select(*columns)
+    df, _ = _message_steps(_own_tokens(with_command, columns), [*columns, "__own"], _lookup)
+    return df.selectExpr(*ROW_KEY, "'commands' as category", "__command as value", "0 as step").filter("value is not null")
 
 
 def _masked_syslog(known: DataFrame, names: list[str]) -> DataFrame:
-    df = _message_steps(_own_tokens(known), _lookup)
-    host = F.when(F.col("hostname").isNotNull(), _lookup(F.lit("hosts"), F.col("hostname")))
-    pid = F.when(F.col("pid").isNotNull(), _lookup(F.lit("pids"), F.col("pid").cast("bigint").cast("string")))
-    meta = F.transform("metadata", lambda m: F.when(_meta_kind(m).isNull(), m).otherwise(F.struct(m["key"].alias("key"), _lookup(_meta_kind(m), _meta_value(m)).alias("value"), F.lit("string").alias("vtype"))))
-    df = staged(df, {"__host": host, "__pid": pid, "__meta": meta.cast(META_TYPE)})
-    text = lambda c: F.coalesce(F.col(c), F.lit("None"))
-    part = lambda c, before, after: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(before), F.col(c), F.lit(after))).otherwise("")
-    line = F.concat(text("timestamp"), F.lit(" "), text("__host"), F.lit(" "), text("process"), part("component", "(", ")"), part("__pid", "[", "]"), F.lit(": "), F.col("__text"))
-    new = {"hostname": F.col("__host"), "pid": F.col("__pid"), "message": F.col("__text"), "metadata": F.col("__meta")}
-    return df.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names], line.alias("masked_log"))
+    columns = known.columns
+    df, columns = _message_steps(_own_tokens(known, columns), [*columns, "__own"], _lookup)
+    masked = f"case {_META_KIND} " + " ".join(f"when '{c}' then {_lookup(c, _META_VALUE)}" for c in ("users", "ips", "remote_hosts")) + " end"
+    meta = f"transform(metadata, m -> if({_META_KIND} is null, m, named_struct('key', m.key, 'value', {masked}, 'vtype', 'string')))"
+    df = _sql_staged(df, columns, {"__host": f"if(hostname is null, null, {_lookup('hosts', 'hostname')})", "__pid": f"if(pid is null, null, {_lookup('pids', 'cast(cast(pid as bigint) as string)')})", "__meta": f"cast({meta} as {META_TYPE})"})
+    line = "concat(coalesce(timestamp, 'None'), ' ', coalesce(__host, 'None'), ' ', coalesce(process, 'None'), if(coalesce(component, '') <> '', concat('(', component, ')'), ''), if(__pid is not null, concat('[', __pid, ']'), ''), ': ', __text)"
+    new = {"hostname": "__host", "pid": "__pid", "message": "__text", "metadata": "__meta"}
+    return df.selectExpr(*[f"{new[c]} as {c}" if c in new else f"`{c}`" for c in names], f"{line} as masked_log")
 
 
 def replaced_words(text: str, tokens: dict[str, str]) -> str:
@@ -211,7 +205,7 @@ def _dictionary(rows: DataFrame, seen: DataFrame, canonical: bool, known: DataFr
         return _numbered(seen, CANONICAL_PREFIX, known)
     first = _numbered(seen, SYSLOG_PREFIX, known)
     # a command's value has the pseudonyms of all of its text in it
-    commands = _commands(_with_tokens(rows.filter(F.contains("message", F.lit("COMMAND="))), seen, first))
+    commands = _commands(_with_tokens(rows.filter(F.contains("message", F.lit("COMMAND="))), seen.filter("command"), first))
     return first.filter("category <> 'commands'").unionByName(_numbered(commands, SYSLOG_PREFIX, None if known is None else known.filter("category = 'commands'")))
 
 
@@ -237,10 +231,11 @@ def _numbered(seen: DataFrame, prefix: dict[str, str], known: DataFrame | None =
 
     The values are sorted over all tasks; a task's numbers start behind those of the tasks before it.
     """
+    shared_folder(seen.sparkSession, "numbers")
     first = seen.groupBy("category", "value").agg(F.min(F.struct("file_path", "line_number", "step")).alias("first"))
     if known is not None:
         first = first.join(known.select("category", "value"), ["category", "value"], "left_anti")
-    shared_folder(seen.sparkSession, "numbers")
+    first = first.checkpoint()  # sorting reads it twice
     placed = first.repartitionByRange("category", "first").sortWithinPartitions("category", "first").select("category", "value", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("id")).checkpoint()
     ahead = F.sum("n").over(Window.partitionBy("category").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     parts = placed.groupBy("category", "task").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("before", F.coalesce(ahead, F.lit(0)))  # a row for each task
@@ -256,8 +251,8 @@ def _numbered(seen: DataFrame, prefix: dict[str, str], known: DataFrame | None =
 
 def _with_tokens(rows: DataFrame, seen: DataFrame, tokens: DataFrame) -> DataFrame:
     """Each record with the array of its own values' tokens."""
-    mine = seen.select(*ROW_KEY, "category", "value").distinct().join(tokens.select("category", "value", "token"), ["category", "value"])
-    per_row = mine.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("category", "value", "token")).alias("tokens"))
+    mine = seen.select(*ROW_KEY, "category", "value").join(tokens.select("category", "value", "token"), ["category", "value"])
+    per_row = mine.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("category", "value", "token")).alias("tokens"))
     joined = rows.join(per_row, ROW_KEY, "left")
     return joined.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<struct<category:string,value:string,token:string>>")))
 
