@@ -198,3 +198,17 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["corpus", str(tmp_path / "s"), "-o", str(tmp_path / "c")])
     cli.main(["score", "--corpus", str(tmp_path / "c/corpus_full"), "--window_size", "2"])
     assert "threshold" in capsys.readouterr().out
+
+
+def test_values_at_ranks(spark, monkeypatch):
+    from timberline.operators import ranks
+
+    monkeypatch.setattr(ranks, "FEW", 5)
+    values = [math.exp(i % 97 / 7) for i in range(2000)] + [3.5] * 700 + [-1e9]
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").cache()
+    want = sorted(values)
+    odd = spark.createDataFrame([(float(v),) for v in [*range(9), *["inf"] * 9, *["-inf"] * 9, *[1e308] * 9, *[-1e308] * 9]], "x double")
+    assert ranks.at_ranks(odd, F.col("x"), [0, 9, 20, 30, 44]) == [float("-inf"), -1e308, 2.0, 1e308, float("inf")]
+    assert ranks.at_ranks(df, F.col("x"), [0, 5, 1350, 1351, 2700]) == [want[k] for k in (0, 5, 1350, 1351, 2700)]
+    assert ranks.median(df, F.col("x")) == statistics.median(values)
+    assert ranks.median(df.limit(0), F.col("x")) is None

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.operators.corpus import tokens
+from timberline.operators.ranks import median
 
 ADD, MIX = 0.1, 0.5
 
@@ -55,11 +56,12 @@ class BigramScorer:
 
 
 def threshold(scored: DataFrame, k: float = 3.0) -> DataFrame:
-    """One row (median, mad, threshold) over the windows of label 0: median + k * MAD, interpolated."""
-    benign = scored.filter((F.col("label") == 0) & F.col("ppl").isNotNull() & ~F.isnan("ppl")).select("ppl")
-    mid = benign.agg(F.percentile("ppl", F.lit(0.5)).alias("m")).scalar()
-    off = benign.select(mid.alias("m"), "ppl").select("m", F.abs(F.col("ppl") - F.col("m")).alias("off"))
-    return off.agg(F.max("m").alias("median"), F.percentile("off", F.lit(0.5)).alias("mad")).withColumn("threshold", F.col("median") + k * F.col("mad"))
+    """One row (median, mad, threshold) over the windows of label 0: median + k * MAD, interpolated; nulls
+    without any. It reads ``scored`` several times."""
+    benign = scored.filter((F.col("label") == 0) & F.col("ppl").isNotNull() & ~F.isnan("ppl")).select(F.col("ppl").cast("double").alias("ppl"))
+    mid = median(benign, F.col("ppl"))
+    mad = None if mid is None else median(benign, F.abs(F.col("ppl") - F.lit(mid)))
+    return scored.sparkSession.createDataFrame([(mid, mad, None if mad is None else mid + k * mad)], "median double, mad double, threshold double")
 
 
 def predicted(scored: DataFrame, limit: Column) -> DataFrame:

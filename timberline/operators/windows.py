@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.operators.ranks import at_ranks
+
 SIZE = 10
 BLOCK = 1 << 16
 
@@ -96,12 +98,14 @@ def with_attacks(windows: DataFrame, ratio: float = 0.1, seed: int = 7) -> DataF
     The kind of attack goes by the window's number. Windows too short for theirs stay as they are, with label 1.
     """
     wanted = int(windows.count() * ratio)
-    chosen = windows.select(F.col("window_id").alias("_w")).orderBy(draw(F.col("_w"), seed), "_w").limit(wanted)
-    df = windows.join(chosen, F.col("window_id") == F.col("_w"), "left")
+    # the draw differs for every window below 2**32; those up to the wanted one's are taken
+    limit = at_ranks(windows, draw(F.col("window_id"), seed), [wanted - 1])[0] if wanted else -1
+    chosen = draw(F.col("window_id"), seed) <= limit
+    df = windows
     size = F.size("lines")
     kind = F.pmod(F.col("window_id"), F.lit(len(INJECTORS)))
     attacked = F.col("lines")
     for i, f in enumerate(INJECTORS):
         attacked = F.when(kind == i, f(F.col("lines"), size)).otherwise(attacked)
-    lines = F.when(F.col("_w").isNotNull(), attacked).otherwise(F.col("lines"))
-    return df.select(*[c for c in windows.columns if c not in ("lines", "text")], lines.alias("lines"), F.array_join(lines, "\n").alias("text"), F.when(F.col("_w").isNotNull(), 1).otherwise(0).alias("label"))
+    lines = F.when(chosen, attacked).otherwise(F.col("lines"))
+    return df.select(*[c for c in windows.columns if c not in ("lines", "text")], lines.alias("lines"), F.array_join(lines, "\n").alias("text"), F.when(chosen, 1).otherwise(0).alias("label"))
