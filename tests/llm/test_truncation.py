@@ -149,3 +149,16 @@ def test_stop_inside_code_is_no_sentence_end(spark):
     texts[7] = texts[7][: texts[7].rindex("np.") + 3]
     out = m.find_truncated(spark.createDataFrame([(i, t, "a", "en", None, "t", 1) for i, t in enumerate(texts)], SCHEMA))
     assert [x["doc"] for x in out.filter("cut").collect()] == [7]
+
+
+def test_sums_are_sent_in_parts():
+    sums, got = m._Sums(), {}
+    r = np.random.default_rng(2)
+    keys = r.integers(0, 50, 500).astype(np.uint64)
+    for part in np.split(keys, 5):
+        sums.add(part, np.ones(len(part)), (part % np.uint64(2)).astype(float))
+        for b in sums.sent():
+            for h, t, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got[h] = tuple(np.add(got.get(h, (0, 0)), (t, s)))
+    assert list(sums.sent()) == []
+    assert got == {int(k): (int((keys == k).sum()), int((keys == k).sum() * (k % 2))) for k in np.unique(keys)}

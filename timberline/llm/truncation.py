@@ -35,6 +35,7 @@ WEIGHTS = (-2.0, -1.0, -0.8)  # where no text is labelled: of a cut at even odds
 HELD_TO = (0.4, 4.0, 4.0)  # how strongly a source's weights are held to those of all
 BITS = 22  # log2 of the size of the filter of end contexts: 512 KB, whatever the corpus
 PART = 1 << 16
+MOST_SUMS = 1 << 22  # contexts of which a task holds sums before it sends them on
 HELD = 1 << 21  # positions of a source whose low orders are counted at once
 _STEPS = ((1, 1), (2, 2), (4, 2), (4, 4), (8, 4), (8, 8))
 _P_INT, _Q = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
@@ -140,6 +141,15 @@ class _Sums:
             self.sums = np.stack([np.bincount(at, t, len(self.keys)), np.bincount(at, s, len(self.keys))])
             self.held, self.size = [], 0
 
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """The sums so far, which are then forgotten."""
+        self.fold()
+        keys, sums = self.keys, self.sums
+        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((2, 0))
+        for i in range(0, len(keys), 100_000):
+            cut = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), *(pa.array(x[cut].astype(np.int64)) for x in sums)], names=["h", "t", "stops"])
+
 
 def _occurrences(bits):
     """Counts of the contexts that pass the filter, over all positions of all texts of a task."""
@@ -187,10 +197,9 @@ def _occurrences(bits):
                         sums.add(h[at], np.ones(len(at)), stop[at].astype(float))
                 if held:
                     low(s, held, held_stops)
-        sums.fold()
-        for i in range(0, len(sums.keys), 100_000):
-            cut = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(sums.keys[cut].view(np.int64)), *(pa.array(x[cut].astype(np.int64)) for x in sums.sums)], names=["h", "t", "stops"])
+            if len(sums.keys) > MOST_SUMS:
+                yield from sums.sent()
+        yield from sums.sent()
 
     return count
 
