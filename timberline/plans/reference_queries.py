@@ -409,8 +409,8 @@ def pseudonym_kept_words(spark, d):
 
 
 def _canonical_records(spark: SparkSession, d: str) -> DataFrame:
-    """Parsed records, each line once."""
-    rows = table(spark, d, "canonical").filter("_format <> 'fallback'").dropDuplicates(["file_path", "line_number"])
+    """All records, each line once."""
+    rows = table(spark, d, "canonical").dropDuplicates(["file_path", "line_number"])
     return rows.drop("received_at")
 
 
