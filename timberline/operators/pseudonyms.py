@@ -275,7 +275,8 @@ def pseudonymised(records: DataFrame, tokens: DataFrame | None = None, canonical
     if not canonical:
         # a command's own key is known once the rest of its text is masked
         commands = tokens.filter("category = 'commands'").select("category", "value", "token")
-        extra = _commands(known).join(commands, ["category", "value"]).groupBy(*ROW_KEY).agg(F.collect_list(F.struct("category", "value", "token")).alias("_c"))
+        with_command = _with_tokens(rows.filter(F.contains("message", F.lit("COMMAND="))), seen.filter("command"), tokens)
+        extra = _commands(with_command).join(commands, ["category", "value"]).groupBy(*ROW_KEY).agg(F.collect_list(F.struct("category", "value", "token")).alias("_c"))
         known = known.join(extra, ROW_KEY, "left").withColumn("tokens", F.when(F.col("_c").isNotNull(), F.concat("tokens", "_c")).otherwise(F.col("tokens"))).drop("_c")
         return _masked_syslog(known, names)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", masked_log string"
